@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.text import code_points, prefix_hashes, span_hashes
+from tapeline.llm.text import code_points, prefix_hashes, slices, span_hashes
 from tapeline.scratch import Scratch
 
 #: Fixed value: the pattern that splits text before the merges of the rank files.
@@ -85,8 +85,7 @@ def boundaries(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
+    for keys, texts in ((b.column(0).slice(i, j - i), t[i:j]) for b in batches for t in [[x or "" for x in b.column(1).to_pylist()]] for i, j in slices(t)):
         starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
         empty = np.nonzero(starts[1:] == starts[:-1])[0]
         _, begin, end = boundaries(texts)
@@ -96,7 +95,7 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = [joined[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)] + [""] * len(empty)
         place = np.concatenate((begin - starts[owner], np.zeros(len(empty), np.int64)))
         owner = np.concatenate((owner, empty))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(place, pa.int64()), pa.array(pieces, pa.string())], ["doc_id", "place", "chunk"])
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner)), pa.array(place, pa.int64()), pa.array(pieces, pa.string())], ["doc_id", "place", "chunk"])
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:

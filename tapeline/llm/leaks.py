@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tapeline.llm.text import alnum_points, one_form, prefix_hashes, span_hashes
+from tapeline.llm.text import alnum_points, one_form, prefix_hashes, slices, span_hashes
 
 #: Windows in one broadcast (16 bytes each, and the items' letters).
 BLOCK_WINDOWS = 4_000_000
@@ -87,8 +87,7 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 60, spans: bool = False) -
         table = spark.sparkContext.broadcast(ItemTable(block, n))
 
         def scan(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            for ids, texts in ((b.column(0).to_numpy(zero_copy_only=False)[i:j], t[i:j]) for b in batches for t in [b.column(1).to_pylist()] for i, j in slices(t)):
                 doc, item, at = table.value.scan(texts)
                 pair, back = np.unique(np.stack((doc, item), 1), axis=0, return_inverse=True)
                 first, last = np.full(len(pair), 2**62), np.full(len(pair), -1)

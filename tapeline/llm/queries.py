@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapeline.llm import encode, groups, leaks, lookalike, topn
+from tapeline.llm import batches, encode, groups, leaks, lookalike, topn
 from tapeline.sources.tables import table
 
 
@@ -21,6 +21,10 @@ r as (select *, row_number() over (partition by trade_date, horizon order by fin
 select trade_date::date::varchar trade_date, horizon, code, run_id from r where k <= 10"""
 
 
+def p4_found(spark, sf):
+    return batches.batch_repeats(table(spark, sf, "market_event_evidence"))
+
+
 def p8_ids(spark, sf):
     return encode.encode(table(spark, sf, "documents"))
 
@@ -33,5 +37,5 @@ def p10_found(spark, sf):
     return lookalike.pairs(lookalike.variants(table(spark, sf, "documents")))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 ORACLES = {"p2_found": P2_FOUND}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -74,6 +75,22 @@ def alnum_table() -> np.ndarray:
     return np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
 
 
+#: Characters a worker handles at a time; a longer text is handled alone.
+SLICE = 1_000_000
+
+
+def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about SLICE characters together, so that a worker's memory doesn't follow the batch size."""
+    begin = held = 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > SLICE:
+            yield begin, i
+            begin, held = i, 0
+        held += len(text)
+    if texts:
+        yield begin, len(texts)
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All code points of the texts in a row, and where each text begins (one more offset at the end)."""
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
