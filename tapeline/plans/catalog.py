@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapeline.plans import problems
+from tapeline.plans import problems, signals
 
-_MODULES = (problems,)
-FLAGSHIP = "p3_found"
+_MODULES = (problems, signals)
+FLAGSHIP = "ma_bullish"
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

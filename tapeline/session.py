@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: UTC keeps timestamps comparable across engines; AQE coalesces, re-plans joins and splits skewed partitions.
@@ -23,3 +26,11 @@ def local_session(cores: int | str = 8, partitions: int | None = None, memory: s
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where it lies; on a cluster it is installed or sent along."""
+    root = str(Path(__file__).resolve().parent.parent)
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (known, root)))
