@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapeline.plans import market, problems, signals
+from tapeline.plans import evidence, market, problems, research, signals
 
-_MODULES = (problems, signals, market)
+_MODULES = (problems, signals, market, research, evidence)
 FLAGSHIP = "ma_bullish"
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
