@@ -43,7 +43,7 @@ class Scratch:
     def cut(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return it read back: same rows, no lineage. Runs one job."""
         path = new_path(self.spark, self.label)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(kept)] = (kept, path)
         return kept
