@@ -57,7 +57,10 @@ class ItemTable:
         times = high - low
         begin, doc, low = np.repeat(begin, times), np.repeat(doc, times), np.repeat(low, times)
         entry = low + np.arange(len(low)) - np.repeat(np.cumsum(times) - times, times)
-        same = np.fromiter((np.array_equal(points[b : b + self.n], self.points[a : a + self.n]) for b, a in zip(begin, self.at[entry], strict=True)), bool, len(begin))
+        same, offsets = np.zeros(len(begin), bool), np.arange(self.n)
+        for k in range(0, len(begin), 20_000):
+            part = slice(k, k + 20_000)
+            same[part] = (points[begin[part, None] + offsets] == self.points[self.at[entry[part], None] + offsets]).all(1)
         return doc[same], self.ids[self.owner[entry[same]]], (begin - starts[doc])[same]
 
 
