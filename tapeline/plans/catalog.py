@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapeline.plans import charts, evidence, market, problems, research, signals
+from tapeline.plans import charts, evidence, market, more, problems, research, signals
 
-_MODULES = (problems, signals, market, research, evidence, charts)
+_MODULES = (problems, signals, market, research, evidence, charts, more)
 FLAGSHIP = "ma_bullish"
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
