@@ -29,7 +29,7 @@ from tapeline.scratch import Scratch
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters the rolling hash sees, and one boundary in so many possible places.
-WINDOW, EVERY = 8, 12
+WINDOW, EVERY = 8, 32
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -114,7 +114,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         return pd.Series(encoding(path).encode_ordinary_batch(chunks.tolist(), num_threads=1))
 
     # copies collapse on the map side; the dictionary stays partitioned by hash for the join that follows
-    distinct = pieces.groupBy("h1", "h2", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    distinct = pieces.groupBy("h1", "h2").agg(F.min("chunk").alias("chunk"))
     coded = distinct.withColumn("ids", ids("chunk")).select("h1", "h2", "ids")
     placed = pieces.select("doc_id", "place", "h1", "h2").join(coded, ["h1", "h2"])
     whole = placed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("parts"))
