@@ -19,7 +19,6 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +39,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 
 @lru_cache(4)
-def encoding(path: str) -> tiktoken.Encoding:
+def encoding(path: str):
+    """The tiktoken encoding of a rank file; the library is only needed where texts are encoded."""
+    import tiktoken
+
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
