@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters counted as blanks around a key.
-BLANKS = " \t\r\n 　"
+#: Characters counted as blanks around a key: white space of any kind.
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 EPS = 1e-9
 
 
