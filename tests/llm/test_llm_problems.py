@@ -159,7 +159,7 @@ def _evidence(seed, n=160):
             text += " " + phrase
         rows.append((f"e{i:04d}", rng.randrange(4), START + timedelta(minutes=i), rng.choice((None, "Title", "TITLE")), text, 1, "x"))
     rows += [(r[0], rng.randrange(4), r[2] + timedelta(days=1), r[3], r[4], 1, "x") for r in rows[::9]]
-    rows += [("n1", 1, START, "t", None, 1, "x"), ("n2", 1, START, "t", "  ", 1, "x"), ("n3", 2, START, None, "...", 1, "x"), ("n4", None, START, "t", "abc", 1, "x"), (None, 1, START, "t", "abc", 1, "x")]
+    rows += [("n1", 1, START, "t", None, 1, "x"), ("n2", 1, START, "t", "  ", 1, "x"), ("n5", 1, START, "a title long enough to be compared with", "\t\u3000\n", 1, "x"), ("n6", 2, START, "a title long enough to be compared with", "\u00a0", 1, "x"), ("n3", 2, START, None, "...", 1, "x"), ("n4", None, START, "t", "abc", 1, "x"), (None, 1, START, "t", "abc", 1, "x")]
     return rows
 
 
