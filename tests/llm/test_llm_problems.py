@@ -211,9 +211,16 @@ def test_encoding_is_exact(spark):
 
 
 def test_chunks_cover_the_text_and_repeat(spark):
-    text = "On 7 July, a lender forecast a plan to sell data racks. " * 3 + "研究所表示,交易所将调整规则。今日公告如下,请投资者注意。" * 3
-    points, begin, end = encode.boundaries(["one two three four five six seven eight. " + text, text])
-    assert begin[0] == 0 and end[-1] == len(points) and (begin[1:] == end[:-1]).all() and len(begin) > 8
+    rng = random.Random(9)
+    text = " ".join(f"On {rng.randrange(30)} July, lender {rng.randrange(99999)} forecast a plan to sell {rng.randrange(999)} data racks; 研究所表示,编号{rng.randrange(9999)}将调整。" for _ in range(60))
+    first = "one two three four five six seven eight. " + text
+    points, begin, end = encode.boundaries([first, text])
+    assert begin[0] == 0 and end[-1] == len(points) and (begin[1:] == end[:-1]).all() and len(first) in begin
+    joined = first + text
+    pieces = [joined[a:b] for a, b in zip(begin, end, strict=True)]
+    split = list(begin).index(len(first))
+    shared = {*pieces[:split]} & {*pieces[split:]}
+    assert len(shared) > 20 and sum(map(len, shared)) > 0.9 * len(text)
 
 
 # leaks
@@ -254,7 +261,8 @@ def test_leaks_against_brute_force(spark):
 
 
 def test_leaks_in_blocks(spark, monkeypatch):
-    items = spark.createDataFrame([(i, f"item {i} " + "".join(random.Random(i).choice(string.ascii_lowercase) for _ in range(100))) for i in range(6)], "item_id bigint, text string")
+    rng = random.Random(6)
+    items = spark.createDataFrame([(i, f"item {i} " + "".join(rng.choice(string.ascii_lowercase) for _ in range(100))) for i in range(6)], "item_id bigint, text string")
     docs = items.selectExpr("item_id + 100 as doc_id", "concat('before ', text, ' after') as text")
     monkeypatch.setattr(leaks, "BLOCK_WINDOWS", 150)
     assert {tuple(r) for r in leaks.leaks(docs, items).collect()} == {(100 + i, i) for i in range(6)}
