@@ -12,6 +12,9 @@ characters first, so that they make a difference.
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,11 @@ def _hashes(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(raw.isNotNull()).select(F.col(key).alias("doc_id"), raw.alias("text"), skeleton.alias("skel"), F.xxhash64(raw).alias("r1"), F.xxhash64(F.lit(11), raw).alias("r2"))
 
 
+def _ordered(texts: pd.Series) -> pd.Series:
+    """Several accents on one letter in their canonical order, which the collation takes for granted."""
+    return texts.map(lambda t: unicodedata.normalize("NFC", t))
+
+
 def variants(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, r1, r2, canonical_id): documents whose text also occurs in another stored form, with the canonical member.
 
@@ -39,7 +47,8 @@ def variants(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     shared = hashed.join(several, "skel")
     form = mapped(F.col("text"), char_map(), _WEIGHTLESS)
     forms = shared.groupBy("skel", "r1", "r2").agg(F.min("doc_id").alias("member"), F.first("text").alias("text"))
-    forms = forms.withColumn("form", F.collate(form, "UNICODE")).where(F.length(F.regexp_replace(form, r"\s", "")) > 0).drop("text")
+    ordered = F.pandas_udf(_ordered, "string")
+    forms = forms.withColumn("form", F.collate(ordered(form), "UNICODE")).where(F.length(F.regexp_replace(form, r"\s", "")) > 0).drop("text")
     classes = forms.groupBy("skel", "form").agg(F.min("member").alias("canonical_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     f, c = forms.alias("f"), classes.alias("c")
     named = f.join(c, (F.col("f.skel") == F.col("c.skel")) & (F.col("f.form") == F.col("c.form"))).select("f.skel", "f.r1", "f.r2", "c.canonical_id")
