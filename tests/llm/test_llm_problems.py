@@ -195,6 +195,21 @@ def test_batches_hot_copies_and_empty(spark):
     assert batches.batch_repeats(spark.createDataFrame([], EVIDENCE)).count() == 0
 
 
+def test_batches_large_family_of_near_copies(spark):
+    """More than RARE near-copies of one text with scattered edits: all that they share is common, the rest is unique."""
+    rng = random.Random(12)
+    base = "".join(rng.choice(string.ascii_lowercase) for _ in range(200))
+    rows = []
+    for i in range(300):
+        letters = list(base)
+        for at in rng.sample(range(200), 2 + i % 5):
+            letters[at] = rng.choice(string.ascii_lowercase)
+        rows.append((f"e{i:04d}", i % 3, START + timedelta(minutes=i), None, "".join(letters), 1, "x"))
+    out = [tuple(r) for r in batches.batch_repeats(spark.createDataFrame(rows, EVIDENCE)).collect()]
+    want = _brute_repeats(rows)
+    assert len(out) == len(set(out)) and set(out) == want and len(want) > 300
+
+
 # encoding
 
 
