@@ -210,6 +210,15 @@ def test_batches_large_family_of_near_copies(spark):
     assert len(out) == len(set(out)) and set(out) == want and len(want) > 300
 
 
+def test_batches_full_sketch(spark, monkeypatch):
+    """A sketch with far fewer slots than the table has chunks makes every chunk look common, and loses nothing."""
+    monkeypatch.setattr(batches, "SLOTS", 1 << 16)
+    monkeypatch.setattr(batches, "level", lambda n: batches.np.full(batches.np.shape(n), 200, batches.np.uint8) if batches.np.ndim(n) else 100)
+    rows = _evidence(11)
+    out = {tuple(r) for r in batches.batch_repeats(spark.createDataFrame(rows, EVIDENCE)).collect()}
+    assert out == _brute_repeats([r for r in rows if r[0] and r[1] is not None])
+
+
 # encoding
 
 
