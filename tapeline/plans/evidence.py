@@ -12,6 +12,7 @@ from tapeline.operators import pit
 from tapeline.plans import sql as S
 from tapeline.plans.market import MASTER, SECTOR_ON, day, master_of, r4
 from tapeline.plans.signals import bars_of
+from tapeline.scratch import Scratch
 from tapeline.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -125,12 +126,56 @@ def evt_time_proximity(spark, sf):
     return _line(spark, sf).select("evidence_id", r4(X.time_proximity(F.col("published_at"), F.col("pp"))).alias("proximity"))
 
 
+NEAR = 0.92
+_LONG, _BEGIN = 20, 16  # letters of content from which two that are near share so many letters at their beginning
+
+
+def near_duplicates(rows):
+    """One row a record: its class of equal texts, its number of links to other records with a score of NEAR, and the best score.
+
+    The score is the mean of the Jaccard share of the titles' words and the common prefix of the contents (256 letters),
+    or the titles' alone where a content is null. Records equal in both are one class. The mean reaches NEAR only if both
+    parts reach 2 * NEAR - 1, so such titles share one of their rarest words and such contents their beginning; classes
+    meet on these, in any source and on any date. Links are counted by class, copies within it included. The score of a
+    record without a link is null.
+    """
+    least = 2 * NEAR - 1
+    normal = lambda c: F.lower(X.squeeze(c))
+    words = F.sort_array(F.array_distinct(F.split(normal("title"), " ")))
+    prefix = F.when(F.col("content").isNotNull(), F.substring(normal("content"), 1, 256))
+    scratch = Scratch(rows.sparkSession, "near")
+    digest = lambda *c: F.unhex(F.sha2(F.concat_ws("\x00", *c), 256))
+    texts = rows.select("evidence_id", words.alias("w"), prefix.alias("c"))
+    members = scratch.cut(texts.select("evidence_id", digest("w").alias("t"), digest("w", F.lit(""), F.col("c").isNull().cast("string"), "c").alias("h"), "w", "c"))
+    classes = scratch.cut(members.groupBy("h").agg(F.min("evidence_id").alias("k"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("t", "w", "c")).alias("x")).select("h", "k", "copies", "x.*"))
+    words_of = classes.groupBy("t").agg(F.min("w").alias("w")).select("t", F.size("w").alias("size"), F.explode("w").alias("word"))
+    common = words_of.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    first_few = F.slice(F.sort_array(F.collect_list(F.struct("n", "word"))), F.lit(1), F.first(F.col("size") - F.ceil(least * F.col("size") - 1e-6) + 1).cast("int"))
+    rare = words_of.join(common, "word").groupBy("t").agg(first_few.alias("r")).select("t", F.explode("r.word").alias("word"))
+    size = F.length("c")
+    short, long = F.concat(F.lit("S"), F.substring("c", 1, 1)), F.when(size >= _LONG, F.concat(F.lit("L"), F.substring("c", 1, _BEGIN)))
+    own = F.when(F.col("c").isNull(), "N").when(size >= _LONG, long).when(size > 0, short)
+    met_as = F.array_compact(F.array(F.lit("N"), F.when(size > 0, short), long))
+    keyed = classes.select("t", "k", F.size("w").alias("size"), own.alias("own"), met_as.alias("keys")).join(rare, "t")
+    a = keyed.where("own is not null").select(F.col("k").alias("a"), F.col("size").alias("sa"), "word", F.col("own").alias("key"))
+    b = keyed.select(F.col("k").alias("b"), F.col("size").alias("sb"), "word", F.explode("keys").alias("key"))
+    near = F.least("sa", "sb") >= least * F.greatest("sa", "sb") - 1e-6
+    pairs = a.join(b, ["word", "key"]).where(near & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sides = [classes.select(F.col("k").alias(x), F.col("w").alias(f"w{x}"), F.col("c").alias(f"c{x}"), F.col("copies").alias(f"n{x}")) for x in "ab"]
+    title = X.jaccard(F.col("wa"), F.col("wb"))
+    score = F.when(F.col("ca").isNull() | F.col("cb").isNull(), title).otherwise((title + X.common_prefix(F.col("ca"), F.col("cb"))) / 2)
+    scored = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "nb", score.alias("score")).where(F.col("score") >= NEAR)
+    copies = classes.where((F.col("copies") > 1) & (F.col("c").isNull() | (size > 0))).select("k", (F.col("copies") - 1).alias("links"), F.lit(1.0).alias("score"))
+    each = scored.select(F.col("a").alias("k"), F.col("nb").alias("links"), "score").unionByName(scored.select(F.col("b").alias("k"), F.col("na").alias("links"), "score")).unionByName(copies)
+    links = each.groupBy("k").agg(F.sum("links").alias("links"), F.max("score").alias("score"))
+    out = members.select("evidence_id", "h").join(classes.select("h", "k"), "h").join(links, "k", "left")
+    decision = F.when(F.col("links") > 0, "near_duplicate").otherwise("distinct")
+    return out.select("evidence_id", F.col("k").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), r4(F.col("score")).alias("score"), decision.alias("decision"))
+
+
 @query("evt_dedup_near", None)
 def evt_dedup_near(spark, sf):
-    """Score of each record against the one before it from its source: mean of title Jaccard and common content prefix."""
-    normal = lambda c: F.lower(X.squeeze(c))
-    score = (X.jaccard(X.tokens("title"), X.tokens("pt")) + X.common_prefix(normal("content"), normal("pcx"))) / 2
-    return _line(spark, sf).select("evidence_id", r4(score).alias("score"), F.when(score >= 0.92, "near_duplicate").otherwise("distinct").alias("decision"))
+    return near_duplicates(first(spark, sf))
 
 
 _KEYS = (("hash", "lower(content_hash)"), ("url", _CANON), ("item", "source_id || '|' || source_item_id || '|' || version::varchar"))
