@@ -7,7 +7,11 @@ member and is joined back.
 Whole texts are compared only where they may be equal: a 64-bit hash of the skeleton (mapped, accents removed) finds
 texts whose stored forms differ at all, and only those are moved and collated. Exact copies collapse to one stored form
 on the map side before any comparison. Control characters, which the collation would skip, are mapped to private-use
-characters first, so that they make a difference.
+characters first, so that they make a difference. Marks of other scripts that the collation skips although they are seen
+are told apart by an exact check of the composed form inside each class.
+
+``variants`` is the result to keep: one row per document with its class. ``pairs`` expands it, so its size follows the
+product of the copies of a class's stored forms; use it only where pairs are what is asked for.
 """
 
 from __future__ import annotations
@@ -38,7 +42,8 @@ def _ordered(texts: pd.Series) -> pd.Series:
 def variants(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, r1, r2, canonical_id): documents whose text also occurs in another stored form, with the canonical member.
 
-    ``r1, r2`` identify the stored form. Null texts, and texts of white space only once in one form, are left out;
+    ``r1, r2`` identify the stored form. Selectors of variants (as of emoji) and other characters never drawn are left out
+    like zero-width ones. Null texts, and texts of white space only once in one form, are left out;
     further columns are ignored. Empty in, empty out.
     """
     hashed = _hashes(docs, key, text)
@@ -49,9 +54,11 @@ def variants(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     forms = shared.groupBy("skel", "r1", "r2").agg(F.min("doc_id").alias("member"), F.first("text").alias("text"))
     ordered = F.pandas_udf(_ordered, "string")
     forms = forms.withColumn("form", F.collate(ordered(form), "UNICODE")).where(F.length(F.regexp_replace(form, r"\s", "")) > 0).drop("text")
-    classes = forms.groupBy("skel", "form").agg(F.min("member").alias("canonical_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # the collation finds the class; equal composed forms inside it are one text, so what it skips still makes a difference
+    forms = forms.withColumn("exact", F.xxhash64(F.collate("form", "UTF8_BINARY")))
+    classes = forms.groupBy("skel", "form", "exact").agg(F.min("member").alias("canonical_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     f, c = forms.alias("f"), classes.alias("c")
-    named = f.join(c, (F.col("f.skel") == F.col("c.skel")) & (F.col("f.form") == F.col("c.form"))).select("f.skel", "f.r1", "f.r2", "c.canonical_id")
+    named = f.join(c, (F.col("f.skel") == F.col("c.skel")) & (F.col("f.form") == F.col("c.form")) & (F.col("f.exact") == F.col("c.exact"))).select("f.skel", "f.r1", "f.r2", "c.canonical_id")
     members = hashed.select("doc_id", "skel", "r1", "r2")
     return members.join(named, ["skel", "r1", "r2"]).select("doc_id", "r1", "r2", "canonical_id")
 

@@ -15,8 +15,8 @@ CYRILLIC = "АВЕЅІЈКМНОРСТУХԚԜаеѕіјорсухһԁԛԝ"
 CYRILLIC_AS = "ABESIJKMHOPCTYXQWaesijopcyxhdqw"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿονϲϳ"
 GREEK_AS = "ABEZHIKMNOPTYXCJovcj"
-# Characters without width that aren't of category Cf.
-WIDTHLESS = "͏"
+# Characters that are never drawn themselves and aren't of category Cf (joiners, vowels and selectors of variants).
+WIDTHLESS = [0x034F, 0x17B4, 0x17B5, *range(0x180B, 0x180E), 0x180F, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
 
 
 @lru_cache(1)
@@ -24,11 +24,12 @@ def char_map() -> dict[int, int | None]:
     """Code point to the one it is stored as; None: it is left out. Full-width forms, spaces, zero widths, look-alikes."""
     found: dict[int, int | None] = {0xFF01 + i: 0x21 + i for i in range(94)}
     found |= dict(zip(map(ord, CYRILLIC + GREEK), map(ord, CYRILLIC_AS + GREEK_AS), strict=True))
+    found |= dict.fromkeys(WIDTHLESS)
     for c in range(0xFFFF):
         kind, ch = unicodedata.category(chr(c)), chr(c)
         if kind == "Zs" and c != 0x20:
             found[c] = 0x20
-        elif kind == "Cf" and not 0x0600 <= c <= 0x08FF and not 0xFFF0 <= c or ch in WIDTHLESS:  # Arabic signs are visible
+        elif kind == "Cf" and not 0x0600 <= c <= 0x08FF and not 0xFFF0 <= c:  # Arabic signs are visible
             found[c] = None
         elif 0x0370 <= c < 0x0530 or 0x1F00 <= c < 0x2000:  # accented look-alikes: the Latin letter with the same accents
             base = unicodedata.normalize("NFD", ch)

@@ -278,12 +278,32 @@ def test_leaks_against_brute_force(spark):
     e = spark.createDataFrame([(*r, 1) for r in items], "item_id bigint, text string, doc_id int")
     out = [tuple(r) for r in leaks.leaks(d, e).collect()]
     assert len(out) == len(set(out)) and set(out) == want and len(want) > 15
-    spans = leaks.leaks(d, e, spans=True).where("doc_id = 202 and item_id = 3").first()
-    assert spans.span_from == 0 and spans.span_to == len(clean(items[3][1])) * 500
+    spans = leaks.leaks(d, e, spans=True).where("doc_id = 202 and item_id = 3").collect()
+    assert [(s.span_from, s.span_to) for s in spans] == [(0, len(clean(items[3][1])) * 500)]
     assert {r.doc_id for r in leaks.without_leaks(d, leaks.leaks(d, e)).collect()} == {i for i, _ in docs} - {i for i, _ in want}
     assert leaks.leaks(d, e.where("1 = 0")).count() == 0 and leaks.leaks(d.where("1 = 0"), e).count() == 0
 
 
+def test_passages_are_cut_out_and_the_rest_stays(spark):
+    rng = random.Random(8)
+    one, two = ("".join(rng.choice(string.ascii_lowercase) for _ in range(90)) for _ in range(2))
+    shown = one.upper().replace("A", "\u0410").replace("E", "E\u200b") + "\u00ad"
+    texts = {
+        1: f"before, {shown}; between: {two[5:80]} after.", 2: "nothing here", 3: None, 4: "", 5: one, 6: f"{one[:70]} {one[20:]}",
+        7: f"e\u200b\u0301 \u1112\u1161\u11ab {' '.join(two)}\u0130 end", 8: one[:59],
+    }
+    docs = spark.createDataFrame([(k, t, 7, "x") for k, t in texts.items()], "doc_id bigint, text string, span_from int, _spans2 string")
+    items = spark.createDataFrame([(1, one), (2, two), (3, one + two)], "item_id bigint, text string")
+    out = {r.doc_id: r.text for r in leaks.without_passages(docs, items).collect()}
+    gone = two[5:80]
+    assert out == {1: "before, \u00ad; between:  after.", 2: "nothing here", 3: None, 4: "", 5: "", 6: "", 7: "e\u200b\u0301 \u1112\u1161\u11ab \u0130 end", 8: one[:59]} and gone not in out[1]
+    assert leaks.without_passages(docs, items).columns == docs.columns
+    spans = leaks.leaks(docs, items, spans=True).where("doc_id = 1 and item_id in (1, 2)").collect()
+    assert len(spans) == 2 and all(s.span_to - s.span_from in (90, 75) for s in spans)
+    assert leaks.leaks(docs, leaks.without_passages(docs, items).selectExpr("doc_id as item_id", "text").where("1 = 0")).count() == 0
+    assert leaks.leaks(leaks.without_passages(docs, items), items).count() == 0
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     rng = random.Random(6)
     items = spark.createDataFrame([(i, f"item {i} " + "".join(rng.choice(string.ascii_lowercase) for _ in range(100))) for i in range(6)], "item_id bigint, text string")
@@ -300,6 +320,7 @@ def test_lookalikes(spark):
         1: "Café nord", 2: "Café nord", 3: "Сafé nord", 4: "Cafe nord", 5: "Cafe nord", 6: "café nord", 7: "Ca​fé nord", 8: "Café nord.", 9: "Café nord",
         10: None, 11: "", 12: "  ", 13: "  ", 14: "Ｃafé　nord", 15: "Ca\x01fé nord", 16: "ё", 17: "ë", 18: "m²", 19: "m2", 20: "ß", 21: "ss", 22: "β", 23: "b", 24: "Ο1", 25: "O1",
         26: "x" * 20_000 + "é", 27: "x" * 20_000 + "é", 28: "A\nB", 29: "A B", 30: "1", 31: "１", 32: "ё", 33: "a­b", 34: "ab", 35: "q̣̇", 36: "q̣̇",
+        37: "wire text \u2764", 38: "wire text \u2764\ufe0f", 39: "a\u17b4b c", 40: "ab c", 41: "a\u0640z", 42: "az", 43: "x\u0591y", 44: "xy",
     }
     frame = spark.createDataFrame([(k, v, 1, "z") for k, v in texts.items()], "doc_id bigint, text string, skel int, form string")
     by = defaultdict(list)
@@ -311,6 +332,7 @@ def test_lookalikes(spark):
     assert len(out) == len(set(out)) and set(out) == want
     assert {(1, 2), (1, 3), (1, 14), (16, 17), (24, 25), (26, 27), (30, 31), (16, 32), (17, 32), (33, 34), (35, 36)} <= want and not {(1, 4), (1, 6), (1, 15), (18, 19), (20, 21), (22, 23), (28, 29)} & want
     canonical = {r.doc_id: r.canonical_id for r in lookalike.variants(frame).collect()}
+    assert {(37, 38), (39, 40)} <= want and not {(41, 42), (43, 44)} & want
     assert all(canonical[x] == 1 for x in (1, 2, 3, 7, 9, 14)) and canonical[5] == 4 and 8 not in canonical
     assert lookalike.variants(frame.where("1 = 0")).count() == 0
 
