@@ -6,16 +6,21 @@ period the versions of one key form disjoint intervals of knowledge, so replayin
 range condition on an equi-join. What is known now rides along as a flag of the last version of each key, so one join
 answers both questions.
 
+Snapshots and changes are written to the shared folder, for the periods only that hold events: a stray date adds one
+period, not all between. ``known_rows`` may be used apart, to keep the
+table for later events.
+
 Hot entities: the period splits them, and an (entity, period) that still holds over 0.1 % of all events is salted; the
 list of such keys has at most 1,000 rows, whatever the input, and is broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.expr import clean_code, heavy_keys, micros
+from tapeline.scratch import Scratch
 
 DAY_US = 86_400_000_000
 NEVER = 2**62
@@ -40,8 +45,8 @@ def sector_log(membership: DataFrame, kind: str = "industry") -> DataFrame:
     return one.select("entity", F.lit("sector").alias("attribute"), key.alias("key"), "at", "from_day", "to_day", "value")
 
 
-def known_rows(log: DataFrame, period_us: int, first: int, last: int) -> DataFrame:
-    """Snapshots and changes of the periods first..last: what may be known in each, with [known_from, known_to).
+def known_rows(log: DataFrame, period_us: int, periods: list[int]) -> DataFrame:
+    """Snapshots and changes of the given periods, in ascending order: what may be known in each, with [known_from, known_to).
 
     A version is a change in its own period and part of every later snapshot up to, and including, the period of the
     key's next version. The last version of a key is also carried into earlier periods, flagged ``is_now``; there its
@@ -54,30 +59,38 @@ def known_rows(log: DataFrame, period_us: int, first: int, last: int) -> DataFra
     line = Window.partitionBy(*key).orderBy("p")
     per = per.withColumn("next_p", F.lead("p").over(line))
     joined = marked.join(per, [*key, "p"])
+    first, last = (periods[0], periods[-1]) if periods else (0, -1)
     ends, final = F.col("at") == F.col("last_at"), F.col("next_p").isNull()
     until = F.when(~ends, F.col("p")).when(final, F.lit(last)).otherwise(F.least(F.col("next_p"), F.lit(last)))
     since = F.when(ends & final, F.lit(first)).otherwise(F.greatest(F.col("p"), F.lit(first)))
     spread = joined.withColumn("is_now", ends & final).withColumn("lo", since.cast("bigint")).withColumn("hi", until.cast("bigint")).where("lo <= hi")
-    spread = spread.select(*key, "at", "from_day", "to_day", "value", "is_now", F.explode(F.sequence("lo", "hi")).alias("period"))
+    spread = spread.select(*key, "at", "from_day", "to_day", "value", "is_now", F.explode(_between(periods, F.col("lo"), F.col("hi"))).alias("period"))
     within = Window.partitionBy(*key, "period").orderBy("at")
     return spread.select("entity", "period", "attribute", F.col("at").alias("known_from"), F.coalesce(F.lead("at").over(within), F.lit(NEVER)).alias("known_to"), "from_day", "to_day", "value", "is_now")
 
 
+def _between(periods: list[int], low: Column, high: Column) -> Column:
+    """Those of the periods that lie between two of them: a filter of one constant array."""
+    held = F.array(*map(F.lit, periods)).cast("array<bigint>")
+    return F.filter(held, lambda p: (p >= low) & (p <= high))
+
+
 def as_known(events: DataFrame, log: DataFrame, attributes: list[str], period_days: int = 7) -> DataFrame:
     """Each distinct event (entity, day, at_us) with every attribute's value known at ``at_us`` and the one known now.
 
     Columns ``{attribute}_then`` and ``{attribute}_now``; null where nothing is known. Of several values valid on the
     event's day the one with the latest available_at, then latest from_day, then latest to_day (open last), then
     smallest value is taken. Events with a null entity or time are left out; a null day matches only attributes without
-    validity. Runs two small aggregations to place the periods and find hot keys. Empty in, empty out.
+    validity. Runs two small aggregations to find the periods (one number each comes to the driver) and hot keys, and
+    writes the snapshots. Empty in, empty out.
     """
     period_us = period_days * DAY_US
     timed = events.where("entity is not null and at_us is not null").select("entity", "day", "at_us", F.floor(F.col("at_us") / F.lit(period_us)).cast("bigint").alias("period"))
-    first, last = timed.agg(F.min("period"), F.max("period")).first()
+    periods = sorted(r[0] for r in timed.select("period").distinct().collect())
     hot = heavy_keys(timed, ["entity", "period"])
     salts = F.ceil(F.col("n") / F.col("per")).cast("int")
     spread = F.broadcast(hot.select("entity", "period", salts.alias("salts")))
-    rows = known_rows(log, period_us, first if first is not None else 0, last if last is not None else -1)
+    rows = Scratch(events.sparkSession, "known").cut(known_rows(log, period_us, periods))
     rows = rows.join(spread, ["entity", "period"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
     timed = timed.join(spread, ["entity", "period"], "left").withColumn("salt", F.pmod(F.hash("day", "at_us"), F.coalesce("salts", F.lit(1))))
     e, r = timed.alias("e"), rows.alias("r")

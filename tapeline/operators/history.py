@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tapeline.expr import BLANKS, clean_code, micros
 from tapeline.operators.asknown import NEVER, sector_log
+from tapeline.scratch import Scratch
 
 WORD = 63
 DAY_US = 86_400_000_000
@@ -71,7 +72,7 @@ def listing_history(master: DataFrame) -> DataFrame:
     value = F.concat(F.coalesce(F.btrim("name", F.lit(BLANKS)), F.lit("")), F.lit("|"), F.coalesce("list_status", F.lit("")))
     picked = rows.select(clean_code("code").alias("entity"), micros("available_at").alias("at"), (-F.coalesce(micros("ingested_at"), F.lit(-NEVER))).alias("i"), F.coalesce("source", F.lit("\U0010ffff")).alias("s"), value.alias("value"))
     one = picked.groupBy("entity", "at").agg(F.min(F.struct("i", "s", "value")).alias("b")).select("entity", "at", F.col("b.value").alias("value"))
-    line = numbered(one)
+    line = Scratch(master.sparkSession, "moments").cut(numbered(one))
     found = runs(line.select("entity", "value", "idx"))
     starts = line.select("entity", F.col("idx").alias("first_idx"), F.col("at").alias("from_us"))
     ends = line.select("entity", F.col("idx").alias("last_idx"), F.col("next_at").alias("to_us"))
@@ -92,6 +93,7 @@ def sector_history(membership: DataFrame) -> DataFrame:
     cuts = now.select("entity", F.explode(F.array("from_day", F.col("to_day") + 1)).alias("cut")).distinct()
     order = Window.partitionBy("entity").orderBy("cut")
     parts = cuts.withColumn("idx", (F.row_number().over(order) - 1).cast("bigint")).withColumn("part_end", F.lead("cut").over(order) - 1).where("part_end is not null")
+    parts = Scratch(membership.sparkSession, "parts").cut(parts)
     n, p = now.alias("n"), parts.alias("p")
     covered = n.join(p, (F.col("n.entity") == F.col("p.entity")) & (F.col("p.cut") >= F.col("n.from_day")) & (F.col("p.part_end") <= F.col("n.to_day")))
     rank = F.struct((-F.col("n.at")).alias("a"), (-F.col("n.from_day")).alias("b"), F.when(F.col("n.to_day") == _OPEN, 2**31 - 1).otherwise(-F.col("n.to_day")).alias("c"), F.col("n.value").alias("value"))

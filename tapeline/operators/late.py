@@ -1,14 +1,22 @@
 """Event-time aggregates that late and out-of-order records correct, up to a cut-off.
 
-Method: conflict-free counters. A counter is kept per period, source and lane (the day a record arrived on, or the
-writer of a batch); it only ever grows, and its version is the latest arrival it has seen. Two states merge by the
-maximum per lane and a period's value is the sum over lanes, so a state or delta may be merged again, or in any order,
-without changing the result.
+Method: conflict-free counters, in two forms that merge the same way.
+
+* **Registers**: every delivery is a state of its own that knows one record: its source, its period and a version, which
+  is the greater the earlier the delivery arrived. States merge by the greatest version of each record, and a period's
+  count is the sum over its source's records. Merging is idempotent and free of order, so retries, redeliveries, and
+  deltas that overlap or come out of turn change nothing, and an earlier arrival that turns up later corrects the outcome.
+* **Lanes**: the counts of a writer that holds merged registers, with the writer's sequence number as version. The states
+  of one writer replace each other, the later one wins; sums run over writers, whose records must not overlap.
+
+Both combine on the map side, so redelivery storms of one id and hot sources do not skew.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.expr import micros
@@ -16,45 +24,68 @@ from tapeline.expr import micros
 #: Beijing is UTC+8 all year.
 BEIJING_US = 8 * 3_600_000_000
 DAY_US = 86_400_000_000
-KEYS = ["period_day", "source_id", "outcome", "lane"]
+OUTCOMES = ["on_time", "corrected", "dropped"]
+REGISTERS = "evidence_id string, arrived_us bigint, published_us bigint, source_id string"
+LANES = "period_day string, source_id string, n_on_time bigint, n_corrected bigint, n_dropped bigint, lane string, version bigint"
 
 
-def arrivals(deliveries: DataFrame, cutoff_hours: int = 72) -> DataFrame:
-    """One row per record: its period (Beijing day of publication), first arrival and outcome.
+def registers(deliveries: DataFrame) -> DataFrame:
+    """A state of one record from each delivery. Those without first_seen_at or id know nothing and have none."""
+    rows = deliveries.where("evidence_id is not null and first_seen_at is not null")
+    return rows.select("evidence_id", micros("first_seen_at").alias("arrived_us"), micros("published_at").alias("published_us"), "source_id")
 
-    ``on_time``: it arrived before the end of the period's day; ``corrected``: later, but less than ``cutoff_hours``
-    after that end; ``dropped``: later still. Records without published_at, first_seen_at or id belong to no period and
-    are left out. Redelivered records arrive at their smallest first_seen_at; if deliveries disagree, the source and
-    publication of the first one hold (of simultaneous ones the smallest). The struct minimum combines on the map side,
-    so redelivery storms of one id do not skew. Further columns are ignored. Empty in, empty out.
+
+def merge(*states: DataFrame) -> DataFrame:
+    """The least state that contains all given ones: of each record the earliest arrival, which is the greatest version.
+
+    If simultaneous deliveries disagree, the smallest publication, then source holds; nulls are the smallest.
     """
-    rows = deliveries.where("evidence_id is not null and first_seen_at is not null")
-    first = F.min(F.struct(micros("first_seen_at").alias("at"), micros("published_at").alias("published"), F.col("source_id").alias("source"))).alias("f")
-    one = rows.groupBy("evidence_id").agg(first).where("f.published is not null")
-    day = F.floor((F.col("f.published") + BEIJING_US) / F.lit(DAY_US)).cast("bigint")
-    one = one.select("evidence_id", F.col("f.source").alias("source_id"), F.col("f.at").alias("arrived_us"), day.alias("d"))
+    every = reduce(DataFrame.unionByName, states)
+    first = every.groupBy("evidence_id").agg(F.min(F.struct("arrived_us", "published_us", "source_id")).alias("r"))
+    return first.select("evidence_id", "r.arrived_us", "r.published_us", "r.source_id")
+
+
+def outcomes(state: DataFrame, cutoff_hours: int = 72) -> DataFrame:
+    """(evidence_id, source_id, period_day, arrived_us, outcome) of a merged state's records.
+
+    ``on_time``: it arrived before the end of the period's day (Beijing day of publication); ``corrected``: later, but
+    less than ``cutoff_hours`` after that end; ``dropped``: later still. Records that are published at no known time
+    belong to no period and are left out.
+    """
+    day = F.floor((F.col("published_us") + BEIJING_US) / F.lit(DAY_US)).cast("bigint")
     lag = F.col("arrived_us") - ((F.col("d") + 1) * DAY_US - BEIJING_US)
     outcome = F.when(lag < 0, "on_time").when(lag < cutoff_hours * 3_600_000_000, "corrected").otherwise("dropped")
     period = F.date_add(F.lit("1970-01-01").cast("date"), F.col("d").cast("int")).cast("string")
-    return one.select("evidence_id", "source_id", period.alias("period_day"), "arrived_us", outcome.alias("outcome"))
+    rows = state.where("published_us is not null").withColumn("d", day)
+    return rows.select("evidence_id", "source_id", period.alias("period_day"), "arrived_us", outcome.alias("outcome"))
+
+
+def arrivals(deliveries: DataFrame, cutoff_hours: int = 72) -> DataFrame:
+    """Outcomes of all deliveries' merged registers. Further columns are ignored. Empty in, empty out."""
+    return outcomes(merge(registers(deliveries)), cutoff_hours)
+
+
+def _sums(by: str) -> list[Column]:
+    return [F.coalesce(F.sum(F.when(F.col("outcome") == o, F.col(by))), F.lit(0)).cast("bigint").alias(f"n_{o}") for o in OUTCOMES]
 
 
-def lane_counts(arrived: DataFrame) -> DataFrame:
-    """Counters of a set of arrivals: per period, source, outcome and lane (arrival day) the count ``n`` and version."""
-    lane = F.floor(F.col("arrived_us") / F.lit(DAY_US)).cast("bigint")
-    return arrived.withColumn("lane", lane).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.max("arrived_us").alias("version"))
+def lane_counts(found: DataFrame, lane: str, version: int) -> DataFrame:
+    """One writer's counts per period and source. ``version`` must grow with each state that the writer sends."""
+    counts = found.withColumn("one", F.lit(1)).groupBy("period_day", "source_id").agg(*_sums("one"))
+    return counts.select("*", F.lit(lane).alias("lane"), F.lit(version).cast("bigint").alias("version"))
 
 
-def merge_counters(*states: DataFrame) -> DataFrame:
-    """The least state that contains all given ones: the maximum count and version of each lane. Idempotent, order-free."""
-    merged = states[0].select(*KEYS, "n", "version")
-    for other in states[1:]:
-        merged = merged.unionByName(other.select(*KEYS, "n", "version"))
-    return merged.groupBy(*KEYS).agg(F.max("n").alias("n"), F.max("version").alias("version"))
+def merge_lanes(*states: DataFrame) -> DataFrame:
+    """Of each lane the state of the greatest version. Idempotent and free of order."""
+    every = reduce(DataFrame.unionByName, states)
+    latest = every.groupBy("lane").agg(F.max("version").alias("version"))
+    return every.join(latest, ["lane", "version"], "left_semi").distinct()
 
 
-def period_totals(state: DataFrame) -> DataFrame:
-    """Counts per source and period: before any correction, corrected, dropped, and what counts in the end."""
-    part = lambda o: F.coalesce(F.sum(F.when(F.col("outcome") == o, F.col("n"))), F.lit(0)).cast("bigint")
-    sums = state.groupBy("source_id", "period_day").agg(part("on_time").alias("n_on_time"), part("corrected").alias("n_corrected"), part("dropped").alias("n_dropped"))
+def period_totals(counts: DataFrame) -> DataFrame:
+    """Counts per source and period, of outcomes or of merged lanes: on time, corrected, dropped, and what counts in the end."""
+    if "outcome" in counts.columns:
+        sums = counts.withColumn("one", F.lit(1)).groupBy("source_id", "period_day").agg(*_sums("one"))
+    else:
+        sums = counts.groupBy("source_id", "period_day").agg(*(F.sum(f"n_{o}").cast("bigint").alias(f"n_{o}") for o in OUTCOMES))
     return sums.withColumn("n_final", F.col("n_on_time") + F.col("n_corrected"))

@@ -89,33 +89,3 @@ def evt_pair_score(spark, sf):
 
 
 QUERIES["join_theta_pairs"], ORACLES["join_theta_pairs"] = evt_pair_score, ORACLES["evt_pair_score"]
-
-
-def _scaled(spark, sf, dims=6):
-    """Vectors of a few dimensions, z-scored by the population deviation."""
-    from pyspark.ml.feature import VectorAssembler
-
-    e = table(spark, sf, "embeddings").select("vec_id", "label", *(F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(dims)))
-    row = e.agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in range(dims)), *(F.stddev_pop(f"x{i}").alias(f"s{i}") for i in range(dims))).first()
-    z = e.select("vec_id", "label", *(((F.col(f"x{i}") - row[f"m{i}"]) / (row[f"s{i}"] or 1.0)).alias(f"x{i}") for i in range(dims)))
-    return VectorAssembler(inputCols=[f"x{i}" for i in range(dims)], outputCol="features").transform(z)
-
-
-@query("res_kmeans", None)
-def res_kmeans(spark, sf):
-    """Archetypes by k-means, with fixed seeds."""
-    from pyspark.ml.clustering import KMeans
-
-    z = _scaled(spark, sf)
-    return KMeans(k=3, seed=7).fit(z).transform(z).select("vec_id", F.col("prediction").alias("cluster"))
-
-
-@query("res_gmm", None)
-def res_gmm(spark, sf):
-    """Archetypes by a Gaussian mixture, with the weight of the likeliest one."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.functions import vector_to_array
-
-    z = _scaled(spark, sf, 3)
-    out = GaussianMixture(k=2, seed=7).fit(z).transform(z)
-    return out.select("vec_id", F.col("prediction").alias("cluster"), round_half(F.array_max(vector_to_array("probability")), 4).alias("weight"))

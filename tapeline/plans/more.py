@@ -217,20 +217,6 @@ def res_fingerprint(spark, sf):
     return bars_of(spark, sf).groupBy(day()).agg(F.sha2(F.array_join(lines, ","), 256).alias("fingerprint"))
 
 
-@query("res_baseline_vcb", f"with {S.FEATURES} select code, d::varchar trade_date from f where rn >= 60 and c > hi20 and v >= 1.5 * av20 and (hi20 - lo20) * 100 <= 20 * lo20")
-def res_baseline_vcb(spark, sf):
-    return B.features(bars_of(spark, sf)).where("rn >= 60 and c > hi20 and v >= 1.5 * av20 and (hi20 - lo20) * 100 <= 20 * lo20").select("code", day())
-
-
-@query("res_high_contribution", "with m as (select label, " + ", ".join(f"avg(embedding[{i}]::double) d{i:02d}" for i in range(1, 9)) + " from embeddings group by 1), u as (unpivot m on columns(* exclude label) into name dim value x) select label, dim from u qualify row_number() over (partition by label order by floor(abs(x) * 1000000::double) desc, dim) <= 3")
-def res_high_contribution(spark, sf):
-    """The three dimensions in which a label's centre lies farthest out."""
-    m = table(spark, sf, "embeddings").groupBy("label").agg(*(F.avg(F.element_at("embedding", i).cast("double")).alias(f"d{i:02d}") for i in range(1, 9)))
-    u = m.unpivot("label", [f"d{i:02d}" for i in range(1, 9)], "dim", "x")
-    k = F.row_number().over(Window.partitionBy("label").orderBy(F.desc(F.floor(F.abs("x") * 1e6)), "dim"))
-    return u.withColumn("k", k).where("k <= 3").select("label", "dim")
-
-
 _PATTERNS = (("slow_rise", "ma5 > ma20 and ma20 > ma60"), ("wide_day", "(h - l) * 100 > 5 * c"), ("quiet", "v * 2 < av20"))
 
 

@@ -90,16 +90,18 @@ select code, 'listing' attribute, v as value, strftime(ta at time zone 'UTC', '%
 union all select code, 'sector', sc, min(a)::varchar, case when max(b) >= date '9999-12-31' then '' else max(b)::varchar end from grp group by code, sc, g"""
 
 
-def _arrivals(spark, sf):
-    return late.arrivals(table(spark, sf, "market_event_evidence").select("evidence_id", "source_id", "published_at", "first_seen_at"))
+def _outcomes(spark, sf):
+    """Every delivery is a counter state of its record; all of them are merged."""
+    rows = table(spark, sf, "market_event_evidence").select("evidence_id", "source_id", "published_at", "first_seen_at")
+    return late.outcomes(late.merge(late.registers(rows)))
 
 
 def p7_found(spark, sf):
-    return _arrivals(spark, sf).where("outcome <> 'on_time'").select("evidence_id", "period_day", "outcome")
+    return _outcomes(spark, sf).where("outcome <> 'on_time'").select("evidence_id", "period_day", "outcome")
 
 
 def p7_counts(spark, sf):
-    return late.period_totals(late.merge_counters(late.lane_counts(_arrivals(spark, sf))))
+    return late.period_totals(_outcomes(spark, sf))
 
 
 _LATE = """with a as (select evidence_id, min(first_seen_at) t, arg_min(published_at, first_seen_at) p, arg_min(source_id, first_seen_at) source_id from market_event_evidence group by 1),

@@ -109,33 +109,6 @@ def pat_adjust(spark, sf):
     return x.join(last, "code").select("code", day(), r4(F.col("c") * F.col("factor") / F.col("last")).alias("adjusted"))
 
 
-_DIMS = 4
-
-
-@query("pat_sim_euclid", f"with e as (select vec_id, label, {', '.join(f'embedding[{i + 1}]::double x{i}' for i in range(_DIMS))} from embeddings), m as (select label, {', '.join(f'avg(x{i}) m{i}' for i in range(_DIMS))} from e group by label) select vec_id, {S.r4('(1 / (1 + sqrt(' + ' + '.join(f'(x{i} - m{i}) * (x{i} - m{i})' for i in range(_DIMS)) + ')))')} sim from e join m using (label)")
-def pat_sim_euclid(spark, sf):
-    """Similarity to the centroid of the vector's label."""
-    e = table(spark, sf, "embeddings").select("vec_id", "label", *(F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(_DIMS)))
-    m = e.groupBy("label").agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in range(_DIMS)))
-    square = sum(((F.col(f"x{i}") - F.col(f"m{i}")) * (F.col(f"x{i}") - F.col(f"m{i}")) for i in range(_DIMS)), F.lit(0.0))
-    return e.join(m, "label").select("vec_id", r4(1 / (1 + F.sqrt(square))).alias("sim"))
-
-
-@query("pat_sim_mahalanobis", None)
-def pat_sim_mahalanobis(spark, sf):
-    """Against the mean of all vectors; the small covariance matrix is inverted on the driver, the distance is a column."""
-    import numpy as np
-
-    e = table(spark, sf, "embeddings").select("vec_id", *(F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(_DIMS)))
-    pairs = [(i, j) for i in range(_DIMS) for j in range(i, _DIMS)]
-    row = e.agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in range(_DIMS)), *(F.covar_samp(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in pairs)).first()
-    cov = np.zeros((_DIMS, _DIMS))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = row[f"c{i}{j}"]
-    inverse = np.linalg.inv(cov)
-    delta = [F.col(f"x{i}") - float(row[f"m{i}"]) for i in range(_DIMS)]
-    square = sum((delta[i] * delta[j] * float(inverse[i, j]) for i in range(_DIMS) for j in range(_DIMS)), F.lit(0.0))
-    return e.select("vec_id", r4(1 / (1 + F.sqrt(F.greatest(square, F.lit(0.0))))).alias("sim"))
 
 
 @query("pat_fingerprint", f"with {S.BARS}, l as (select code, d, code || '|' || d::varchar || '|' || c::varchar || '|' || v::varchar line from bars) select code, sha256(string_agg(line, chr(10) order by d)) fingerprint from l group by code")
@@ -219,33 +192,6 @@ def _positive(spark, sf):
     return x.withColumn("pos", F.expr("r > 0 and ex > 0 and pct >= 90"))
 
 
-@query("res_labels", f"with {_POS} select code, d::varchar trade_date, r, pos from l3")
-def res_labels(spark, sf):
-    return _positive(spark, sf).select("code", day(), "r", "pos")
-
-
-@query("res_controls", f"""with {_POS}, p as (select * from l3 where pos), n as (select * from l3 where not pos), j as (select p.code, p.d, n.code control, abs(p.amt - n.amt) dist, row_number() over (partition by p.code, p.d order by abs(p.amt - n.amt), n.code) k
-from p join n on n.d = p.d and n.sector_code = p.sector_code and n.code <> p.code) select code, d::varchar trade_date, control, dist from j where k <= 3""")
-def res_controls(spark, sf):
-    """The three nearest rows of the same date and sector that are not positive; an equi-join on both keys."""
-    x = _positive(spark, sf).select("code", "d", "sector_code", "amt", "pos")
-    p, n = x.where("pos").alias("p"), x.where("not pos").alias("n")
-    j = p.join(n, (F.col("p.d") == F.col("n.d")) & (F.col("p.sector_code") == F.col("n.sector_code")) & (F.col("p.code") != F.col("n.code")))
-    j = j.select("p.code", "p.d", F.col("n.code").alias("control"), F.abs(F.col("p.amt") - F.col("n.amt")).alias("dist"))
-    k = F.row_number().over(Window.partitionBy("code", "d").orderBy("dist", "control"))
-    return j.withColumn("k", k).where("k <= 3").select("code", day(), "control", "dist")
-
-
-_MARKET_QUERIES["join_control_match"], _MARKET_ORACLES["join_control_match"] = res_controls, _MARKET_ORACLES["res_controls"]
-
-
-@query("res_control_metrics", f"with {S.BARS}, x as (select code, d, a, c - lag(c) {W} g from bars) select code, d::varchar trade_date, {S.r4('(' + S._last('sum(a)', 20) + ' / ' + S._last('count(a)', 20) + ')')} avg_amount, {S.r4('(20 * 0 + coalesce(sqrt(greatest((' + S._last('count(g)', 20) + ' * ' + S._last('sum(g * g)', 20) + ' - ' + S._last('sum(g)', 20) + ' * ' + S._last('sum(g)', 20) + ')::double / nullif(' + S._last('count(g)', 20) + ' * ' + S._last('count(g)', 20) + ', 0), 0)), 0))')} volatility from x")
-def res_control_metrics(spark, sf):
-    w = B.last_n(20)
-    x = bars_of(spark, sf).withColumn("g", F.col("c") - F.lag("c").over(B.by_code()))
-    n, s, q = F.count("g").over(w), F.sum("g").over(w), F.sum(F.col("g") * F.col("g")).over(w)
-    deviation = F.coalesce(F.sqrt(F.greatest((n * q - s * s) / F.when(n > 0, n * n), F.lit(0.0))), F.lit(0.0))
-    return x.select("code", day(), r4(F.sum("a").over(w) / F.count("a").over(w)).alias("avg_amount"), r4(deviation).alias("volatility"))
 
 
 @query("res_precision_at_k", f"with {_POS}, k as (select *, row_number() over (order by amt desc, d, code) k from l3) select count(*) n, count(*) filter (pos) hits from k where k <= 200")
@@ -327,27 +273,6 @@ def win_turnover_jaccard(spark, sf):
     return x.select(day(), F.when(F.col("p").isNull(), 1.0).otherwise(1 - F.size(F.array_intersect("s", "p")) / F.size(F.array_union("s", "p"))).alias("turnover"))
 
 
-@query("res_walk_forward", None)
-def res_walk_forward(spark, sf):
-    """Purged and embargoed month splits over the distinct dates; the split map is as small as the calendar."""
-    dates = [r[0] for r in bars_of(spark, sf).select("d").distinct().orderBy("d").collect()]
-    from tapeline.functions.splits import walk_forward
-
-    rows = [(i, str(d), part) for i, split in enumerate(walk_forward(dates, 60, 20, 5)) for part, days in split.items() for d in days]
-    return spark.createDataFrame(rows, "split int, trade_date string, part string")
-
-
-@query("res_baseline_ma", f"with {S.FEATURES} select code, d::varchar trade_date from f where rn >= 60 and c > ma20 and ma20 > ma60")
-def res_baseline_ma(spark, sf):
-    return B.features(bars_of(spark, sf)).where("rn >= 60 and c > ma20 and ma20 > ma60").select("code", day())
-
-
-@query("res_baseline_rs", f"with {_RS} select code, d::varchar trade_date from rs qualify row_number() over (partition by d order by own desc, code) <= greatest(1, ceil(count(*) over (partition by d) * 0.1))")
-def res_baseline_rs(spark, sf):
-    n, k = F.count(F.lit(1)).over(Window.partitionBy("d")), F.row_number().over(Window.partitionBy("d").orderBy(F.desc("own"), "code"))
-    return _strength(spark, sf).withColumn("n", n).withColumn("k", k).where("k <= greatest(1, ceil(n * 0.1))").select("code", day())
-
-
 # cost-basis distributions
 
 

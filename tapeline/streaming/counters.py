@@ -1,68 +1,65 @@
-"""Late-event counters over a stream: each micro-batch's counters are merged into a versioned state table.
+"""Late-event counters over a stream: each micro-batch's registers are added to a log of states that merge without conflict.
 
-Exactly-once needs no transaction: a lane is one micro-batch, its counters are the same however often the batch is
-retried, and merging takes maxima. The state is written beside the old one and then named as current, so a failed write
-leaves the old state in force.
+Exactly-once needs no transaction: a micro-batch writes to a folder of its own number, so a retry replaces what it wrote,
+and merging is idempotent. Nothing is given up behind a watermark: a record that arrives very late is counted as dropped,
+and a redelivery, however late, is known by its id. A micro-batch writes only itself; ``compact`` folds the log into one
+state from time to time, and may be lost or repeated at any point without harm.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tapeline.operators import late
 from tapeline.scratch import delete
 
-STATE = "period_day string, source_id string, outcome string, lane bigint, n bigint, version bigint"
-SEEN = "evidence_id string, source_id string, period_day string, arrived_us bigint, outcome string"
-
 
-class CounterTable:
-    """A table of counters in numbered versions below a shared folder."""
+class CounterLog:
+    """A log of register states below a shared folder."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self, path: str):
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
-
-    def versions(self) -> list[int]:
-        fs, root = self._fs(self.path)
-        if not fs.exists(root):
+    def parts(self) -> list[str]:
+        """Folders of states that were written in full."""
+        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = jvm_path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(jvm_path(self.path)):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        done = [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()]
-        return sorted(v for v in done if self._complete(v))
+        found = [s.getPath().getName() for s in fs.listStatus(jvm_path(self.path))]
+        return sorted(n for n in found if fs.exists(jvm_path(f"{self.path}/{n}/_SUCCESS")))
 
-    def _complete(self, version: int) -> bool:
-        fs, mark = self._fs(f"{self.path}/v{version}/_SUCCESS")
-        return fs.exists(mark)
+    def add(self, delta: DataFrame, number: int) -> None:
+        """Add a micro-batch's registers; the same number again replaces them."""
+        late.merge(delta).write.mode("overwrite").parquet(f"{self.path}/batch-{number}")
 
-    def read(self) -> DataFrame:
-        known = self.versions()
-        if not known:
-            return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(f"{self.path}/v{known[-1]}")
+    def state(self) -> DataFrame:
+        """All registers merged: one row per record."""
+        return late.merge(self._all(self.parts()))
 
-    def merge(self, delta: DataFrame) -> None:
-        """Merge counters into a new version and drop the one before the last. Runs one job."""
-        known = self.versions()
-        late.merge_counters(self.read(), delta).write.mode("overwrite").parquet(f"{self.path}/v{(known[-1] if known else 0) + 1}")
-        for old in known[:-1]:
-            delete(self.spark, f"{self.path}/v{old}")
+    def _all(self, parts: list[str]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], late.REGISTERS)
+        return self.spark.read.schema(late.REGISTERS).parquet(*(f"{self.path}/{p}" for p in parts))
 
+    def compact(self) -> None:
+        """Fold what is there into one state."""
+        parts = self.parts()
+        if len(parts) > 1:
+            late.merge(self._all(parts)).write.parquet(f"{self.path}/merged-{uuid.uuid4().hex}")
+            for part in parts:
+                delete(self.spark, f"{self.path}/{part}")
 
-def run_counters(deliveries: DataFrame, table: CounterTable, checkpoint: str, cutoff_hours: int = 72, keep: str = "7 days") -> StreamingQuery:
-    """Count a stream of deliveries into ``table``; ends when what is available has been counted.
 
-    Redeliveries within ``keep`` of event time are dropped by id (bounded state); the lane of a record is its micro-batch.
-    """
-    first = deliveries.withWatermark("first_seen_at", keep).dropDuplicatesWithinWatermark(["evidence_id"])
+def run_counters(deliveries: DataFrame, log: CounterLog, checkpoint: str, compact_every: int = 100) -> StreamingQuery:
+    """Add a stream of deliveries to ``log``; ends when what is available has been added."""
 
     def count(batch: DataFrame, number: int) -> None:
-        arrived = late.arrivals(batch, cutoff_hours).withColumn("lane", F.lit(number).cast("bigint"))
-        table.merge(arrived.groupBy(*late.KEYS).agg(F.count(F.lit(1)).alias("n"), F.max("arrived_us").alias("version")))
+        log.add(late.registers(batch), number)
+        if number % compact_every == compact_every - 1:
+            log.compact()
 
-    return first.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return deliveries.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -163,24 +163,47 @@ def test_late_outcomes(spark):
     rows = [("a", "s", pub, end - timedelta(microseconds=1)), ("b", "s", pub, end), ("b", "s", pub, end + timedelta(hours=80)), ("c", "s", pub, end + timedelta(hours=72)), ("d", None, pub, end + timedelta(hours=72) - timedelta(microseconds=1)), ("e", "s", None, end), (None, "s", pub, end), ("f", "s", pub, None)]
     out = late.arrivals(spark.createDataFrame([(*r, 1, 2) for r in rows], EVENTS))
     assert {r.evidence_id: (r.period_day, r.outcome) for r in out.collect()} == {"a": ("2024-01-01", "on_time"), "b": ("2024-01-01", "corrected"), "c": ("2024-01-01", "dropped"), "d": ("2024-01-01", "corrected")}
-    totals = {r.source_id: (r.n_on_time, r.n_corrected, r.n_dropped, r.n_final) for r in late.period_totals(late.lane_counts(out)).collect()}
+    totals = {r.source_id: (r.n_on_time, r.n_corrected, r.n_dropped, r.n_final) for r in late.period_totals(out).collect()}
     assert totals == {"s": (1, 1, 1, 2), None: (0, 1, 0, 1)}
 
 
-def test_counters_merge_in_any_order_and_again(spark):
-    rng = random.Random(1)
+def _deliveries(seed, n=200):
+    rng = random.Random(seed)
     start = datetime(2024, 1, 1, tzinfo=UTC)
-    rows = [(f"e{i}", rng.choice("st"), start + timedelta(hours=rng.randrange(90)), start + timedelta(hours=rng.randrange(400)), 1, 2) for i in range(200)]
-    frame = spark.createDataFrame(rows, EVENTS)
-    arrived = late.arrivals(frame).cache()
-    cuts = [start + timedelta(hours=h) for h in (100, 250, 401)]
-    us = lambda t: int(t.timestamp() * 1_000_000)
-    states = [late.lane_counts(arrived.where(F.col("arrived_us") < us(c))) for c in cuts]
+    rows = [(f"e{i}", rng.choice("st"), start + timedelta(hours=rng.randrange(90)), start + timedelta(hours=rng.randrange(400)), 1, 2) for i in range(n)]
+    rows += [(*r[:3], r[3] + timedelta(hours=rng.randrange(-60, 200)), 1, 2) for r in rng.sample(rows, n // 3)]  # redelivered, seen earlier elsewhere
+    rng.shuffle(rows)
+    return rows
+
+
+def test_registers_merge_in_any_order_and_again(spark):
+    rows = _deliveries(1)
+    as_set = lambda df: {tuple(r) for r in df.collect()}
+    whole = as_set(late.arrivals(spark.createDataFrame(rows, EVENTS)))
+    deltas = [late.registers(spark.createDataFrame(part, EVENTS)) for part in (rows[:90], rows[60:200], rows[200:])]  # disjoint and overlapping
+    states = [late.merge(d) for d in deltas]
+    assert as_set(late.outcomes(late.merge(states[2], deltas[0], states[1], states[2], states[0]))) == whole
+    assert as_set(late.outcomes(late.merge(late.merge(states[0], states[1]), states[2]))) == whole
+
+
+def test_disjoint_deltas_of_one_day_add_up(spark):
+    day = datetime(2024, 1, 1, 2, tzinfo=UTC)
+    rows = [(f"e{i}", "s", day, day + timedelta(hours=20, minutes=i), 1, 2) for i in range(8)]
+    one, two = (late.registers(spark.createDataFrame(part, EVENTS)) for part in (rows[:5], rows[5:]))
+    assert [tuple(r) for r in late.period_totals(late.outcomes(late.merge(one, two))).collect()] == [("s", "2024-01-01", 0, 8, 0, 8)]
+
+
+def test_lanes_of_writers(spark):
+    rows = _deliveries(2)
+    found = late.arrivals(spark.createDataFrame(rows, EVENTS)).cache()
+    mine, yours = found.where("evidence_id < 'e5'"), found.where("evidence_id >= 'e5'")
+    early = late.lane_counts(mine.where("arrived_us % 3 = 0"), "a", 1)  # an older state of the same writer
+    states = [late.lane_counts(yours, "b", 1), early, late.lane_counts(mine, "a", 2)]
     as_set = lambda df: {tuple(r) for r in df.collect()}
-    whole = as_set(late.period_totals(late.lane_counts(arrived)))
-    assert as_set(late.period_totals(late.merge_counters(states[2], states[0], states[1], states[2], states[0]))) == whole
-    assert as_set(late.period_totals(late.merge_counters(late.merge_counters(states[0], states[1]), states[2]))) == whole
+    want = as_set(late.period_totals(found))
+    assert as_set(late.period_totals(late.merge_lanes(*states, states[1], states[0]))) == want
+    assert as_set(late.period_totals(late.merge_lanes(late.merge_lanes(states[2], states[0]), states[1]))) == want
 
 
 def test_late_empty(spark):
-    assert late.period_totals(late.lane_counts(late.arrivals(spark.createDataFrame([], EVENTS)))).count() == 0
+    assert late.period_totals(late.arrivals(spark.createDataFrame([], EVENTS))).count() == 0
