@@ -1,34 +1,36 @@
 """Encoding of a whole corpus with a public byte-level BPE tokenizer.
 
-Method: content-defined chunk reuse. A rolling hash over the last characters proposes chunk boundaries, so equal
-passages of different documents fall into equal chunks; each distinct chunk is encoded once and joined back to every
-place it occurs in. Joins are repaired before encoding instead of after: boundaries are only taken where the tokenizer's
-own pre-splitting must begin a new piece whatever stands around, judged by the characters' classes. Merges never cross
-such a place, so re-encoding around a join would always agree with the chunks' own ids, and the ids in a row are exactly
-those of the whole text (the tests compare them). Where a text has no such place it stays one chunk.
-
-Occurrences of a hot chunk are split by AQE; a document's ids are gathered per document, so by its own length only.
+Method: content-defined chunk reuse. A rolling hash over the last characters sets chunk boundaries, so equal passages of
+different documents fall into equal chunks. Each worker encodes a chunk once and keeps its ids in a dictionary of bounded
+size, for all documents and tasks it handles; stock passages are in every worker's dictionary soon, and no text moves
+between executors, so nothing is shuffled or written besides the result. The ids of a document's chunks, put in a row, are
+wrong around the joins; they are repaired by re-encoding. The text between the last place before a join and the first
+place after it at which the tokenizer's pre-splitting must begin a new piece, whatever stands around (judged by the
+characters' classes), is encoded anew and replaces the tokens there. Merges never cross such a place, so a repaired row
+agrees with the ids of the whole text, if the chunks' own tokens begin and end at these places. That is checked for every
+join; where it fails, the document is encoded as a whole (the tests compare all ids).
 """
 
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tapeline.llm.text import code_points, prefix_hashes, slices, span_hashes
-from tapeline.scratch import Scratch
 
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters the rolling hash sees, and one boundary in so many possible places.
-WINDOW, EVERY = 8, 32
+#: Characters the rolling hash sees, and one boundary in so many places.
+WINDOW, EVERY = 8, 128
+#: Characters of all chunks in a worker's dictionary; a full one is emptied, which costs time only.
+DICTIONARY = 4_000_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -66,58 +68,111 @@ def _classes() -> np.ndarray:
     return kinds
 
 
-def boundaries(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(points, begin, end) of all chunks of the texts; an empty text is one empty chunk."""
-    points, starts = code_points(texts)
+def safe_places(points: np.ndarray) -> np.ndarray:
+    """Places at which pre-splitting must begin a new piece: before a single space between solid characters, or between
+    solid characters of different classes."""
     kinds = _classes()[points]
     left, right = kinds[:-1], kinds[1:]
     after = np.concatenate((kinds[2:], np.zeros(1, np.uint8)))[: len(right)]
     solid = lambda k: (k >= 1) & (k <= 3)
-    # before a single space between solid characters, or between solid characters of different classes
-    safe = solid(left) & ((right == 4) & solid(after) | solid(right) & (left != right))
-    cut = np.nonzero(safe)[0] + 1
-    cut = cut[cut >= WINDOW]
-    rolled = span_hashes(prefix_hashes(points), cut - WINDOW, cut) if len(cut) else np.zeros(0, np.uint64)
-    cut = cut[rolled % np.uint64(EVERY) == 0]
+    return np.nonzero(solid(left) & ((right == 4) & solid(after) | solid(right) & (left != right)))[0] + 1
+
+
+def chunk_begins(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the chunks of the texts begin, in order; an empty text has none."""
+    at = np.arange(WINDOW, len(points))
+    rolled = span_hashes(prefix_hashes(points), at - WINDOW, at) if len(at) else np.zeros(0, np.uint64)
+    at = at[rolled % np.uint64(EVERY) == 0]
     # a window that reaches into the document before would make the cut depend on it
-    owner = np.searchsorted(starts, cut, "right") - 1
-    cut = cut[cut - starts[owner] >= WINDOW]
-    begin = np.sort(np.concatenate((starts[:-1], cut)), kind="stable")
-    return points, begin, np.concatenate((begin[1:], [len(points)])).astype(np.int64)
-
-
-def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for keys, texts in ((b.column(0).slice(i, j - i), t[i:j]) for b in batches for t in [[x or "" for x in b.column(1).to_pylist()]] for i, j in slices(t)):
-        starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
-        empty = np.nonzero(starts[1:] == starts[:-1])[0]
-        _, begin, end = boundaries(texts)
-        begin, end = begin[begin < end], end[begin < end]
-        owner = np.searchsorted(starts, begin, "right") - 1
-        joined = "".join(texts)
-        pieces = [joined[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)] + [""] * len(empty)
-        place = np.concatenate((begin - starts[owner], np.zeros(len(empty), np.int64)))
-        owner = np.concatenate((owner, empty))
-        yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner)), pa.array(place, pa.int64()), pa.array(pieces, pa.string())], ["doc_id", "place", "chunk"])
+    at = at[at - starts[np.searchsorted(starts, at, "right") - 1] >= WINDOW]
+    return np.unique(np.concatenate((starts[:-1][starts[1:] > starts[:-1]], at)))
+
+
+class Dictionary:
+    """Ids of chunks, and of the pieces between them, each encoded once as long as there is room."""
+
+    def __init__(self, path: str):
+        self.encode = encoding(path).encode_ordinary
+        by_rank = {encoding(path).encode_single_token(t): len(t) for t in encoding(path).token_byte_values()}
+        self.sizes = [by_rank.get(i, 0) for i in range(max(by_rank) + 1)]
+        self.held: dict[str, tuple[list[int], list[int]]] = {}
+        self.chars = self.encoded = self.whole = 0
+
+    def ids(self, text: str) -> tuple[list[int], list[int]]:
+        """(ids, the byte after each of them)."""
+        found = self.held.get(text)
+        if found is None:
+            ids = self.encode(text)
+            found = ids, list(accumulate(map(self.sizes.__getitem__, ids)))
+            self.encoded += 1
+            self.chars += len(text)
+            if self.chars > DICTIONARY:
+                self.held, self.chars = {}, len(text)
+            self.held[text] = found
+        return found
+
+
+@lru_cache(2)
+def _dictionary(path: str) -> Dictionary:
+    return Dictionary(path)
+
+
+def encode_texts(texts: list[str], own: Dictionary) -> list[list[int]]:
+    """The ids of each text."""
+    points, starts = code_points(texts)
+    joined = "".join(texts)
+    bytes_at = np.concatenate(([0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000).astype(np.int64))))
+    chunks = chunk_begins(points, starts)
+    is_place = np.zeros(len(points) + 1, bool)
+    is_place[safe_places(points)] = is_place[starts] = True
+    places = np.flatnonzero(is_place)
+    joins, clean = chunks[~is_place[chunks]], chunks[is_place[chunks]]
+    # between two joins without a safe place the spans to encode anew are the same one, otherwise they don't overlap
+    anew = places[np.searchsorted(places, joins, "left") - 1]
+    begins, is_anew = np.zeros(len(points) + 1, bool), np.zeros(len(points) + 1, bool)
+    begins[starts[:-1]] = begins[clean] = begins[places[np.searchsorted(places, joins, "right")]] = begins[anew] = is_anew[anew] = True
+    begin = np.flatnonzero(begins[:-1])
+    end = np.append(begin[1:], len(points)).astype(np.int64)
+    fresh = is_anew[begin]
+    chunk = np.searchsorted(chunks, begin, "right") - 1
+    chunk_end = np.append(chunks[1:], len(points)).astype(np.int64)
+    # a chunk that ends its document ends where the next one's first chunk begins, as empty texts have no characters
+    low, high = bytes_at[begin] - bytes_at[chunks[chunk]], bytes_at[end] - bytes_at[chunks[chunk]]
+    first = np.searchsorted(begin, starts)
+    out, rows = [], list(zip(begin.tolist(), end.tolist(), fresh.tolist(), chunks[chunk].tolist(), chunk_end[chunk].tolist(), low.tolist(), high.tolist(), strict=True))
+    for k, text in enumerate(texts):
+        row: list[int] = []
+        for b, e, is_fresh, c, d, lo, hi in rows[first[k] : first[k + 1]]:
+            if is_fresh:
+                row += own.ids(joined[b:e])[0]
+                continue
+            ids, ends = own.ids(joined[c:d])
+            i, j = (bisect_left(ends, lo) + 1 if lo else 0), bisect_left(ends, hi) + 1
+            if j > len(ends) or ends[j - 1] != hi or (lo and ends[i - 1] != lo):
+                row = own.encode(text)
+                own.whole += 1
+                break
+            row += ids[i:j]
+        out.append(row)
+    return out
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids): the token ids of each document's text, without special tokens; text that looks like one is text.
+    """(doc_id, ids): the token ids of each row's text, without special tokens; text that looks like one is text.
 
-    An empty and a null text have an empty list. ``doc_id`` is a document's key (copies of a text under different keys
-    each have a row). Further columns are ignored. Empty in, empty out. Writes the chunks once to the shared folder.
+    An empty and a null text have an empty list. There is a row for every row, repeated ones and such without a key
+    included. Further columns are ignored. Empty in, empty out.
     """
     path = path or tokenizer_path()
-    scratch = Scratch(docs.sparkSession, "chunks")
-    pieces = docs.select("doc_id", "text").mapInArrow(_chunk, "doc_id bigint, place bigint, chunk string")
-    pieces = scratch.cut(pieces.select("doc_id", "place", F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit(7), "chunk").alias("h2"), "chunk"))
-
-    @F.pandas_udf("array<int>")
-    def ids(chunks: pd.Series) -> pd.Series:
-        return pd.Series(encoding(path).encode_ordinary_batch(chunks.tolist(), num_threads=1))
-
-    # copies collapse on the map side; the dictionary stays partitioned by hash for the join that follows
-    distinct = pieces.groupBy("h1", "h2").agg(F.min("chunk").alias("chunk"))
-    coded = distinct.withColumn("ids", ids("chunk")).select("h1", "h2", "ids")
-    placed = pieces.select("doc_id", "place", "h1", "h2").join(coded, ["h1", "h2"])
-    whole = placed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("parts"))
-    return whole.select("doc_id", F.flatten("parts.ids").alias("ids"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _dictionary(path)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for i, j in slices(texts):
+                ids = encode_texts(texts[i:j], own)
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64)))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, offsets[-1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))], ["doc_id", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, ids array<int>")

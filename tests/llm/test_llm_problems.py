@@ -231,8 +231,7 @@ def test_batches_full_bitmaps(spark, monkeypatch):
     """Bitmaps far too small for the table let everything through, and change nothing."""
     rows = _evidence(11)
     frame = spark.createDataFrame(rows, EVIDENCE)
-    monkeypatch.setattr(batches, "SLOTS", 1 << 6)
-    monkeypatch.setattr(batches.bitmap, "__defaults__", (4,))
+    monkeypatch.setattr(batches, "SLOTS", 2)
     out = {tuple(r) for r in batches.batch_repeats(frame).collect()}
     assert out == _brute_repeats([r for r in rows if r[0] and r[1] is not None])
 
@@ -280,17 +279,28 @@ def test_encoding_is_exact(spark):
     assert encode.encode(frame.where("1 = 0")).count() == 0
 
 
-def test_chunks_cover_the_text_and_repeat(spark):
+def test_chunks_are_reused_and_joins_repaired(spark):
     rng = random.Random(9)
     text = " ".join(f"On {rng.randrange(30)} July, lender {rng.randrange(99999)} forecast a plan to sell {rng.randrange(999)} data racks; 研究所表示,编号{rng.randrange(9999)}将调整。" for _ in range(60))
-    first = "one two three four five six seven eight. " + text
-    points, begin, end = encode.boundaries([first, text])
-    assert begin[0] == 0 and end[-1] == len(points) and (begin[1:] == end[:-1]).all() and len(first) in begin
-    joined = first + text
-    pieces = [joined[a:b] for a, b in zip(begin, end, strict=True)]
-    split = list(begin).index(len(first))
-    shared = {*pieces[:split]} & {*pieces[split:]}
-    assert len(shared) > 20 and sum(map(len, shared)) > 0.9 * len(text)
+    texts = [text, "", "one two three. " + text, text[17:] + " end", text.replace("data", "date"), "y" * 2_000, "don't " * 300]
+    own = encode.Dictionary(encode.tokenizer_path())
+    out = encode.encode_texts(texts, own)
+    assert out == [encode.encoding(encode.tokenizer_path()).encode_ordinary(t) for t in texts] and own.whole == 0
+    points, starts = encode.code_points(texts[:1])
+    chunks = len(encode.chunk_begins(points, starts))
+    joins = set(encode.chunk_begins(points, starts).tolist()) - set(encode.safe_places(points).tolist())
+    assert chunks > 20 and len(joins) > 10
+    before = own.encoded
+    encode.encode_texts([text + " again"], own)
+    assert own.encoded - before < 0.1 * chunks
+
+
+def test_a_full_dictionary_changes_nothing(monkeypatch):
+    monkeypatch.setattr(encode, "DICTIONARY", 100)
+    rng = random.Random(10)
+    texts = ["".join(rng.choice("ab c'1!涨 ") for _ in range(300)) for _ in range(50)]
+    own = encode.Dictionary(encode.tokenizer_path())
+    assert encode.encode_texts(texts, own) == [encode.encoding(encode.tokenizer_path()).encode_ordinary(t) for t in texts] and len(own.held) < 50
 
 
 # leaks
