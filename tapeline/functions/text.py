@@ -20,26 +20,38 @@ def content_hash(title: str, content: str) -> Column:
 
 def canonical_url(c: str) -> Column:
     """Scheme and host in lower case, default port and fragment dropped, an empty path as '/'; null if it is no http URL."""
-    part = lambda i: F.regexp_extract(F.trim(F.col(c)), r"^(?i)(https?)://([^/?#:]+)(:[0-9]+)?(/[^?#]*)?(\?[^#]*)?(#.*)?$", i)
-    scheme, port = F.lower(part(1)), part(3)
-    standard = ((scheme == "http") & (port == ":80")) | ((scheme == "https") & (port == ":443"))
-    path = F.when(part(4) == "", "/").otherwise(part(4))
-    return F.when(scheme != "", F.concat(scheme, F.lit("://"), F.lower(part(2)), F.when(standard, "").otherwise(port), path, part(5)))
+    url = F.trim(F.col(c))
+    part = lambda name: F.try_parse_url(url, F.lit(name))
+    scheme, authority = F.lower(part("PROTOCOL")), F.lower(part("AUTHORITY"))
+    default = F.when(scheme == "http", ":80").otherwise(":443")
+    place = F.when(authority.endswith(default), F.left(authority, F.length(authority) - F.length(default))).otherwise(authority)
+    path = F.coalesce(F.nullif(part("PATH"), F.lit("")), F.lit("/"))
+    query = F.coalesce(F.concat(F.lit("?"), part("QUERY")), F.lit(""))
+    return F.when(scheme.isin("http", "https") & (place != ""), F.concat(scheme, F.lit("://"), place, path, query))
+
+
+def terms(c: Column | str) -> Column:
+    """Runs of letters, digits and dots in lower case, longer than two, in order and as often as they occur."""
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^A-Za-z0-9.]+"), lambda w: F.length(w) > 2)
 
 
 def tokens(c: Column | str) -> Column:
-    """Runs of letters, digits and dots in lower case, longer than two, without stock codes, sorted, each once."""
-    words = F.split(F.lower(F.coalesce(c, F.lit(""))), "[^A-Za-z0-9.]+")
-    kept = F.filter(words, lambda w: (F.length(w) > 2) & ~w.rlike(r"^[0-9]{6,7}(\.(sh|sz|bj))?$"))
-    return F.sort_array(F.array_distinct(kept))
+    """Terms without stock codes (digits and an exchange's suffix), sorted, each once."""
+    return F.sort_array(F.array_distinct(F.filter(terms(c), lambda w: ~w.rlike(r"^[0-9]{6,7}\.(sh|sz|bj)$"))))
 
 
-def token_vector(words: Column) -> Column:
-    """Counts of tokens by byte sum modulo 8."""
+def term_counts(words: Column) -> Column:
+    """Number of terms by byte sum modulo 8."""
     bucket = F.transform(words, lambda w: F.aggregate(F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.ascii(F.substr(w, i, F.lit(1)))), F.lit(0), lambda a, x: a + x) % BUCKETS)
     return F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda k: F.size(F.filter(bucket, lambda b: b == k)))
 
 
+def unit_vector(counts: Column) -> Column:
+    """``counts`` divided by their Euclidean length; zeros stay zeros."""
+    length = F.sqrt(F.aggregate(counts, F.lit(0), lambda a, x: a + x * x).cast("double"))
+    return F.transform(counts, lambda x: F.when(length > 0, x / length).otherwise(0.0))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """1 if both are empty, 0 if one is."""
     union = F.size(F.array_union(a, b))

@@ -9,7 +9,6 @@ from tapeline.expr import round_half
 from tapeline.functions import text as X
 from tapeline.operators import charts as C
 from tapeline.plans import sql as S
-from tapeline.plans.evidence import _FIRST, _TOK, first
 from tapeline.plans.market import day, r4
 from tapeline.plans.signals import bars_of
 from tapeline.sources.tables import table
@@ -69,23 +68,3 @@ def chip_js_profile(spark, sf):
     return C.cost_profile(bars_of(spark, sf)).select("code", "bucket", r4(F.col("weight")).alias("weight"))
 
 
-_CODE_IN = "regexp_extract(title, '[0-9]{7}\\.(SH|SZ|BJ)')"
-
-
-@query("evt_pair_score", f"""with {_FIRST}, e as (select evidence_id, {_CODE_IN} code, published_at p, {_TOK.format('title')} w from first where {_CODE_IN} <> '' and published_at is not null),
-x as (select *, lag(evidence_id) over k prev_id, lag(p) over k pp, lag(w) over k pw from e window k as (partition by code order by p, evidence_id)),
-g as (select evidence_id, prev_id, abs(epoch_us(p) - epoch_us(pp)) / 172800000000.0::double g, case when len(list_distinct(w || pw)) = 0 then 1.0::double else len(list_intersect(w, pw)) / len(list_distinct(w || pw)) end j from x where prev_id is not null)
-select evidence_id, prev_id, {S.r4('(0.25 * (1 - g) + 0.75 * j)')} score from g where g <= 1""")
-def evt_pair_score(spark, sf):
-    """Records that name the same code, each with the one before it within 48 hours: time proximity and title overlap.
-
-    Blocked by code and chained in time, so a busy code gives as many pairs as records, never their square.
-    """
-    e = first(spark, sf).select("evidence_id", F.regexp_extract("title", r"[0-9]{7}\.(SH|SZ|BJ)", 0).alias("code"), F.col("published_at").alias("p"), X.tokens("title").alias("w")).where("code <> '' and p is not null")
-    k = Window.partitionBy("code").orderBy("p", "evidence_id")
-    x = e.withColumn("prev_id", F.lag("evidence_id").over(k)).withColumn("pp", F.lag("p").over(k)).withColumn("pw", F.lag("w").over(k)).where("prev_id is not null")
-    near = X.time_proximity(F.col("p"), F.col("pp"))
-    return x.where(near.isNotNull()).select("evidence_id", "prev_id", r4(0.25 * near + 0.75 * X.jaccard(F.col("w"), F.col("pw"))).alias("score"))
-
-
-QUERIES["join_theta_pairs"], ORACLES["join_theta_pairs"] = evt_pair_score, ORACLES["evt_pair_score"]

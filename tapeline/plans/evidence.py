@@ -53,21 +53,6 @@ def evt_content_hash(spark, sf):
     return ev(spark, sf).select("evidence_id", X.content_hash("title", "content").alias("hash"))
 
 
-_RE = "'^(?i)(https?)://([^/?#:]+)(:[0-9]+)?(/[^?#]*)?(\\?[^#]*)?(#.*)?$'"
-
-
-def _part(i):
-    return f"regexp_extract(trim(source_url), {_RE}, {i})"
-
-
-_CANON = f"case when {_part(1)} <> '' then lower({_part(1)}) || '://' || lower({_part(2)}) || case when (lower({_part(1)}) = 'http' and {_part(3)} = ':80') or (lower({_part(1)}) = 'https' and {_part(3)} = ':443') then '' else {_part(3)} end || case when {_part(4)} = '' then '/' else {_part(4)} end || {_part(5)} end"
-
-
-@query("evt_canonical_url", f"select evidence_id, {_CANON} url from {E}")
-def evt_canonical_url(spark, sf):
-    return ev(spark, sf).select("evidence_id", X.canonical_url("source_url").alias("url"))
-
-
 @query("evt_title_derive", f"select evidence_id, substr(content, 1, 120) title from {E}")
 def evt_title_derive(spark, sf):
     return ev(spark, sf).select("evidence_id", F.substring("content", 1, 120).alias("title"))
@@ -86,20 +71,6 @@ def evt_lineage_group(spark, sf):
     return rows.groupBy("source_id", "source_item_id").agg(F.array_join(line, ",").alias("lineage"))
 
 
-_TOK = "list_sort(list_distinct(list_filter(string_split_regex(lower(coalesce({0}, '')), '[^A-Za-z0-9.]+'), lambda w: length(w) > 2 and not regexp_matches(w, '^[0-9]{{6,7}}(\\.(sh|sz|bj))?$'))))"
-
-
-@query("evt_tokens", f"select evidence_id, array_to_string({_TOK.format('title')}, ' ') tokens from {E}")
-def evt_tokens(spark, sf):
-    return ev(spark, sf).select("evidence_id", F.array_join(X.tokens("title"), " ").alias("tokens"))
-
-
-@query("evt_semantic_vector", f"with t as (select evidence_id, list_transform({_TOK.format('title')}, lambda w: list_sum(list_transform(string_split(w, ''), lambda ch: ascii(ch))) % 8) b from {E}) select evidence_id, array_to_string(list_transform(range(8), lambda k: len(list_filter(b, lambda x: x = k))), ',') vec from t")
-def evt_semantic_vector(spark, sf):
-    vector = F.transform(X.token_vector(X.tokens("title")), lambda n: n.cast("string"))
-    return ev(spark, sf).select("evidence_id", F.array_join(vector, ",").alias("vec"))
-
-
 @query("evt_cosine", f"with e as (select label, vec_id, embedding::double[] a, lag(embedding::double[]) over (partition by label order by vec_id) b from embeddings) select vec_id, {S.r4('greatest(0, least(1, list_cosine_similarity(a, b)))')} similarity from e where b is not null")
 def evt_cosine(spark, sf):
     """Each vector with the one before it under the same label."""
@@ -107,25 +78,6 @@ def evt_cosine(spark, sf):
     return e.where("b is not null").select("vec_id", r4(X.cosine(F.col("embedding"), F.col("b"))).alias("similarity"))
 
 
-_LINE = f"{_FIRST}, p as (select *, lag(title) over w pt, lag(published_at) over w pp, lag(content) over w pcx from first window w as (partition by source_id order by first_seen_at, evidence_id))"
-
-
-def _line(spark, sf):
-    w = Window.partitionBy("source_id").orderBy("first_seen_at", "evidence_id")
-    return first(spark, sf).withColumn("pt", F.lag("title").over(w)).withColumn("pp", F.lag("published_at").over(w)).withColumn("pcx", F.lag("content").over(w))
-
-
-@query("evt_jaccard", f"with {_LINE}, t as (select evidence_id, {_TOK.format('title')} a, {_TOK.format('pt')} b from p) select evidence_id, case when len(list_distinct(a || b)) = 0 then 1.0::double else len(list_intersect(a, b)) / len(list_distinct(a || b)) end similarity from t")
-def evt_jaccard(spark, sf):
-    """Title tokens of each record and the one before it from the same source."""
-    return _line(spark, sf).select("evidence_id", X.jaccard(X.tokens("title"), X.tokens("pt")).alias("similarity"))
-
-
-@query("evt_time_proximity", f"with {_LINE}, g as (select evidence_id, published_at a, pp b, abs(epoch_us(published_at) - epoch_us(pp)) / 172800000000.0::double g from p) select evidence_id, {S.r4('(case when a is null or b is null then 0.5::double when g <= 1 then 1 - g end)')} proximity from g")
-def evt_time_proximity(spark, sf):
-    return _line(spark, sf).select("evidence_id", r4(X.time_proximity(F.col("published_at"), F.col("pp"))).alias("proximity"))
-
-
 NEAR = 0.92
 _LONG, _BEGIN = 20, 16  # letters of content from which two that are near share so many letters at their beginning
 
@@ -173,31 +125,6 @@ def near_duplicates(rows):
     return out.select("evidence_id", F.col("k").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), r4(F.col("score")).alias("score"), decision.alias("decision"))
 
 
-@query("evt_dedup_near", None)
-def evt_dedup_near(spark, sf):
-    return near_duplicates(first(spark, sf))
-
-
-_KEYS = (("hash", "lower(content_hash)"), ("url", _CANON), ("item", "source_id || '|' || source_item_id || '|' || version::varchar"))
-
-
-@query("evt_dedup_exact", f"with {_FIRST}, k as (" + " union all ".join(f"select evidence_id, '{n}' kind, {x} k from first" for n, x in _KEYS) + "), m as (select kind, k, min(evidence_id) rep from k where k is not null group by 1, 2) select k.evidence_id, k.kind, m.rep from k join m using (kind, k) where m.rep <> k.evidence_id")
-def evt_dedup_exact(spark, sf):
-    """Records that share a hash, canonical URL or source item with an earlier-sorted one: a union of equi-groups, not an OR join.
-
-    Each record is paired with its group's representative only, never with every other member.
-    """
-    rows = first(spark, sf)
-    item = F.concat_ws("|", "source_id", "source_item_id", F.col("version").cast("string"))
-    keys = F.array(F.struct(F.lit("hash").alias("kind"), F.lower("content_hash").alias("k")), F.struct(F.lit("url").alias("kind"), X.canonical_url("source_url").alias("k")), F.struct(F.lit("item").alias("kind"), F.when(F.col("source_item_id").isNotNull() & F.col("version").isNotNull() & F.col("source_id").isNotNull(), item).alias("k")))
-    keyed = rows.select("evidence_id", F.explode(keys).alias("x")).select("evidence_id", "x.kind", "x.k").where("k is not null")
-    reps = keyed.groupBy("kind", "k").agg(F.min("evidence_id").alias("rep"))
-    return keyed.join(reps, ["kind", "k"]).where("rep <> evidence_id").select("evidence_id", "kind", "rep")
-
-
-QUERIES["join_dup_candidates"], ORACLES["join_dup_candidates"] = evt_dedup_exact, ORACLES["evt_dedup_exact"]
-
-
 @query("evt_source_entropy", f"with g as (select effective_trade_date d, source_id, count(*) n from {E} where effective_trade_date is not null group by 1, 2), t as (select *, sum(n) over (partition by d) t from g) select d::varchar trade_date, {S.r4('(sum(-(n / t) * log2(n / t)) + 0.00000001)')} entropy from t group by d")
 def evt_source_entropy(spark, sf):
     g = ev(spark, sf).where("effective_trade_date is not null").groupBy("effective_trade_date", "source_id").agg(F.count(F.lit(1)).alias("n"))

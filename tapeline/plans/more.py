@@ -302,14 +302,6 @@ def evt_contracts(spark, sf):
     return f.select("evidence_id").join(s, "evidence_id", "left").select("evidence_id", F.coalesce("s", F.lit(False)).alias("superseded"))
 
 
-@query("evt_location_overlap", "with t as (select evidence_id, list_distinct(regexp_extract_all(title, '[A-Z][a-z]{5,}')) a from (select distinct evidence_id, title from market_event_evidence)) select evidence_id, len(a) n_places, case when len(a) = 0 then 0.5::double else 1.0::double end score from t")
-def evt_location_overlap(spark, sf):
-    """Capitalised names of a title; a record without any counts as half."""
-    rows = table(spark, sf, "market_event_evidence").select("evidence_id", "title").distinct()
-    n = F.size(F.array_distinct(F.coalesce(F.regexp_extract_all("title", F.lit("([A-Z][a-z]{5,})"), F.lit(1)), F.array().cast("array<string>"))))
-    return rows.select("evidence_id", n.cast("bigint").alias("n_places"), F.when(n == 0, 0.5).otherwise(1.0).alias("score"))
-
-
 @query("stream_event_ingest", f"with {_FIRST} select source_id, strftime(max(first_seen_at) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') cursor_at, count(*) n from first group by 1")
 def stream_event_ingest(spark, sf):
     """Cursor of every source after all deliveries; a redelivered record counts once."""
