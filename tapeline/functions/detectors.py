@@ -49,11 +49,11 @@ def condition(name: str) -> str:
     return f"rn >= {max(bars, 1)} and ({text})"
 
 
-def hits(frame: DataFrame, names: list[str] | None = None, scan_bars: int = SCAN_BARS) -> DataFrame:
-    """Long form (code, d, signal_id) of every bar a detector fires on."""
+def hits(frame: DataFrame, names: list[str] | None = None, scan_bars: int = SCAN_BARS, carried: list[str] | None = None) -> DataFrame:
+    """Long form (code, d, signal_id) of every bar a detector fires on, with the columns in ``carried``."""
     picked = names or [*DETECTORS]
     fired = [F.when(F.expr(f"rn >= {scan_bars} and {condition(n)}"), F.lit(n)) for n in picked]
-    return frame.select("code", "d", F.explode(F.array_compact(F.array(*fired))).alias("signal_id"))
+    return frame.select("code", "d", *(carried or []), F.explode(F.array_compact(F.array(*fired))).alias("signal_id"))
 
 
 def multi_signal(found: DataFrame, least: int = 3) -> DataFrame:

@@ -545,6 +545,3 @@ def agg_profit_factor(spark, sf):
     return x.groupBy("code").agg(won.alias("w"), lost.alias("s")).select("code", F.when(F.col("s") < 0, r4(F.col("w") / -F.when(F.col("s") < 0, F.col("s")))).otherwise(F.col("w").cast("double")).alias("profit_factor"))
 
 
-@query("agg_event_stats", "select event_type, count(*) n, median(value) median_value, count(*) filter (value > 50) / count(*) positive_rate from events group by 1")
-def agg_event_stats(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.median("value").alias("median_value"), (F.count(F.when(F.col("value") > 50, 1)) / F.count(F.lit(1))).alias("positive_rate"))

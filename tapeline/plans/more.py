@@ -170,15 +170,6 @@ def watchlist_list(spark, sf):
     return added.join(master_of(spark, sf).select("code", F.trim("name").alias("name")), "code", "left").select("code", "name", pit.at_us("added").alias("added_us"))
 
 
-@query("pit_refresh_ledger", " union all ".join(f"select '{t}' category, count(*) n, count(*) filter (available_at > timestamptz '{CUT} 00:00:00+00') fresh, count(*) filter (availability_quality = 'estimated') estimated, count(distinct source) n_sources from {t}" for t in ("stock_daily_bar_versions", "security_master_versions", "stock_sector_membership")))
-def pit_refresh_ledger(spark, sf):
-    """What a refresh of each category would bring: rows, rows after the cut-off, estimated ones, sources."""
-    cut, parts = F.lit(f"{CUT} 00:00:00").cast("timestamp"), []
-    for t in ("stock_daily_bar_versions", "security_master_versions", "stock_sector_membership"):
-        parts.append(table(spark, sf, t).agg(F.lit(t).alias("category"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("available_at") > cut, 1)).alias("fresh"), F.count(F.when(F.col("availability_quality") == "estimated", 1)).alias("estimated"), F.countDistinct("source").alias("n_sources")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
 @query("overview_compat", f"with {S.BARS}, x as (select *, lag(c) {W} pc from bars), t as (select code, d, {S.r4('((c - pc) * 100 / pc)')} chg from x where pc is not null and d = (select max(d) from bars)) (select code, chg, 'top' side from t order by chg desc, code limit 5) union all (select code, chg, 'bottom' side from t order by chg, code limit 5)")
 def overview_compat(spark, sf):
     """Leaders and laggards of the newest date, five each."""
@@ -237,15 +228,6 @@ def chip_as_of(spark, sf):
     return pit.newest(bars_of(spark, sf).where(F.col("d") <= F.lit(CUT).cast("date")), ["code"], [F.desc("d")]).select("code", day(), "t")
 
 
-@query("chip_decode_legacy", None)
-def chip_decode_legacy(spark, sf):
-    """Peak-relative percentages and back to probabilities."""
-    x = C.legacy(bars_of(spark, sf))
-    peak = F.max("weight").over(Window.partitionBy("code"))
-    y = x.withColumn("relative", F.col("weight") / F.when(peak > 0, peak) * 100)
-    return y.withColumn("again", F.col("relative") / F.sum("relative").over(Window.partitionBy("code"))).select("code", "bucket", r4(F.col("relative")).alias("relative"), r4(F.col("again")).alias("probability"))
-
-
 @query("chip_sample_stratified", f"with {MASTER}, s as (select code, exchange, market, row_number() over (partition by exchange, market order by md5(code), code) k from master) select code, exchange, market from (select *, row_number() over (order by k, exchange, market) p from s) where p <= 20")
 def chip_sample_stratified(spark, sf):
     """Round-robin over strata in hashed order: row numbers per stratum, then the first of all by (round, stratum)."""

@@ -343,13 +343,6 @@ def page_keyset(spark, sf):
     return b.orderBy(F.desc("a"), "code", "d").limit(51).select("code", day(), "a")
 
 
-@query("nav_prev_next", f"with {MASTER} select code, lag(code) over (order by code) prev_code, lead(code) over (order by code) next_code, row_number() over (order by code) place from master")
-def nav_prev_next(spark, sf):
-    """Neighbours in an ordered list of codes (one row per listed code)."""
-    w = Window.orderBy("code")
-    return master_of(spark, sf).select("code", F.lag("code").over(w).alias("prev_code"), F.lead("code").over(w).alias("next_code"), F.row_number().over(w).cast("bigint").alias("place"))
-
-
 @query("dash_company", f"with {S.BARS}, {MASTER}, q as (select code, arg_max(c, d) c, arg_max(pe, d) filter (pe is not null) pe from bars group by code) select m.code, trim(m.name) as name, m.list_status, q.c, q.pe from master m left join q on q.code = m.code")
 def dash_company(spark, sf):
     q = bars_of(spark, sf).groupBy("code").agg(F.max_by("c", "d").alias("c"), F.max_by("pe", F.when(F.col("pe").isNotNull(), F.col("d"))).alias("pe"))
