@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from tapeline.plans.evidence import _CODE_IN, _FIRST, first
 from tapeline.plans.market import CUT, MASTER, day, master_of, r4
 from tapeline.plans.research import _CHIP
 from tapeline.plans.signals import bars_of
+from tapeline.sources.market import MarketData, PointInTimeData, feed_after, parquet_tables
 from tapeline.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -154,3 +157,43 @@ def stream_chip_daily(spark, sf):
     local = F.timestamp_micros(F.unix_micros("at") + 8 * 3_600_000_000)
     rows = e.select("event_id", R.evening_slot(F.col("at")).alias("slot"), local.cast("date").cast("string").alias("trade_date")).where("slot is not null")
     return rows.groupBy("trade_date", "slot").agg(F.min("event_id").alias("first_event"), F.count(F.lit(1)).alias("attempts"))
+
+
+# providers
+
+
+_D1, _D2, _DAY = date(2024, 3, 1), date(2024, 4, 30), date(2024, 4, 10)
+
+
+@query("src_provider_api", f"with {S.BARS} select 'stock' call, code, d::varchar trade_date, c from bars where code = '9000001.SH' and d between date '{_D1}' and date '{_D2}' union all select 'date', code, d::varchar, c from bars where d = date '{_DAY}' union all select distinct 'calendar', '', trade_date::varchar, null from stock_daily_bar_versions where trade_date between date '{_D1}' and date '{_D2}'")
+def src_provider_api(spark, sf):
+    """Bars of a code, bars of a date and the calendar, through the provider."""
+    p = MarketData(spark, parquet_tables(sf))
+    part = lambda rows, call: rows.select(F.lit(call).alias("call"), "code", day(), "c")
+    calendar = p.trading_dates(_D1, _D2).select(F.lit("calendar").alias("call"), F.lit("").alias("code"), day(), F.lit(None).cast("bigint").alias("c"))
+    return part(p.daily_bars_for_stock(" 9000001.sh", _D1, _D2), "stock").unionByName(part(p.daily_bars_by_date(_DAY), "date")).unionByName(calendar)
+
+
+_UNTIL = f"available_at <= timestamptz '{CUT} 00:00:00+00'"
+
+
+@query(
+    "src_pit_provider",
+    f"""with m as (select {S.CODE} code, name, list_status from security_master_versions where code is not null and {_UNTIL} qualify row_number() over (partition by {S.CODE} order by available_at desc, ingested_at desc, source) = 1),
+s as (select {S.CODE} code, sector_code, valid_from, valid_to from stock_sector_membership where code is not null and sector_type = 'industry' and {_UNTIL} qualify row_number() over (partition by {S.CODE}, sector_code, valid_from order by available_at desc, valid_to desc nulls first) = 1)
+select 'status' call, code, list_status || '|' || coalesce(regexp_matches(trim(name), '^\\*?ST'), false)::varchar as value from m union all select distinct 'sector', code, sector_code from s where valid_from <= date '{_DAY}' and coalesce(valid_to, date '9999-12-31') >= date '{_DAY}'""",
+)
+def src_pit_provider(spark, sf):
+    """Statuses and memberships as known at the cut-off, through the point-in-time provider."""
+    p = PointInTimeData(spark, parquet_tables(sf))
+    status = p.security_statuses(f"{CUT} 00:00:00").select(F.lit("status").alias("call"), "code", F.concat("list_status", F.lit("|"), F.col("special").cast("string")).alias("value"))
+    return status.unionByName(p.sector_memberships(_DAY, f"{CUT} 00:00:00").select(F.lit("sector").alias("call"), "code", F.col("sector_code").alias("value")))
+
+
+_CUT_US = 1_717_113_600_000_000  # the cut-off in microseconds
+
+
+@query("src_event_feed", f"with s as (select evidence_id, min(epoch_us(first_seen_at)) seen_us from market_event_evidence where evidence_id is not null and first_seen_at is not null group by 1) select * from s where seen_us > (select max(seen_us) from s) - 30 * 86400000000 and (seen_us, evidence_id) > ({_CUT_US}, '')")
+def src_event_feed(spark, sf):
+    """What a feed gives after the cut-off, with thirty days of retention."""
+    return feed_after(table(spark, sf, "market_event_evidence"), _CUT_US, "", 30 * 86_400_000_000)
