@@ -225,11 +225,17 @@ def evt_brief(spark, sf):
 _CAND = f"select run_id, trade_date, {S.CODE} code, lower(trim(horizon)) horizon, base_score, pattern_score, event_adjustment, final_score, support_tier, risk_flags, created_at from analysis_decision_candidates"
 
 
-@query("decision_tier_merge", f"with k as ({_CAND}) select run_id, code, horizon, max(case support_tier when 'A' then 3 when 'B' then 2 when 'watch' then 1 else 0 end) tier, count(distinct support_tier) n_tiers from k group by 1, 2, 3")
+_TIER = "case support_tier when 'A' then 3 when 'B' then 2 when 'watch' then 1 else 0 end"
+
+
+@query("decision_tier_merge", f"with k as (select trade_date, {S.CODE} code, lower(trim(horizon)) horizon, base_source, {_TIER} t from analysis_decision_candidates), g as (select trade_date, code, horizon, max(t) tier, max(t) filter (base_source = 'scan_ranker') scan, max(t) filter (base_source = 'pattern_shadow') pattern from k group by 1, 2, 3), f as (select *, coalesce(scan > 0 and pattern = 0, false) bad from g) select trade_date::varchar trade_date, code, horizon, case when bad then 1 else tier end tier, case when bad then 'scan_pattern_disagreement' else '' end flag from f")
 def decision_tier_merge(spark, sf):
-    tier = F.when(F.col("support_tier") == "A", 3).when(F.col("support_tier") == "B", 2).when(F.col("support_tier") == "watch", 1).otherwise(0)
-    rows = table(spark, sf, "analysis_decision_candidates").select("run_id", clean_code("code").alias("code"), clean_word("horizon").alias("horizon"), "support_tier")
-    return rows.groupBy("run_id", "code", "horizon").agg(F.max(tier).alias("tier"), F.countDistinct("support_tier").alias("n_tiers"))
+    """The highest tier of a date, code and horizon; a scan that is for it and a pattern that rejects it leave it watched, and flagged."""
+    rows = table(spark, sf, "analysis_decision_candidates").select("trade_date", clean_code("code").alias("code"), clean_word("horizon").alias("horizon"), "base_source", F.expr(_TIER).alias("t"))
+    of = lambda source: F.max(F.when(F.col("base_source") == source, F.col("t")))
+    g = rows.groupBy("trade_date", "code", "horizon").agg(F.max("t").alias("tier"), of("scan_ranker").alias("scan"), of("pattern_shadow").alias("pattern"))
+    g = g.withColumn("bad", F.expr("coalesce(scan > 0 and pattern = 0, false)"))
+    return g.select(F.col("trade_date").cast("date").cast("string").alias("trade_date"), "code", "horizon", F.when(F.col("bad"), 1).otherwise(F.col("tier")).alias("tier"), F.when(F.col("bad"), "scan_pattern_disagreement").otherwise("").alias("flag"))
 
 
 @query("json_risk_flags", f"with k as ({_CAND}), f as (select horizon, unnest(from_json(risk_flags, '[\"VARCHAR\"]')) flag from k where json_valid(risk_flags)) select horizon, flag, count(*) n from f group by 1, 2")

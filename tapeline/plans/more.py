@@ -118,9 +118,18 @@ def rank_metrics(spark, sf):
 _TREND = "case when ma5 > ma10 and ma10 > ma20 and ma20 > ma60 then case when (ma5 - ma60) * 100 > 5 * ma60 then 'strong_bull' else 'bull' end when ma5 > ma10 then 'weak_bull' when abs(ma5 - ma10) * 100 < ma10 then 'consolidation' when ma5 < ma10 and ma10 > ma20 then 'weak_bear' when ma5 < ma10 and ma10 < ma20 and ma20 < ma60 then 'strong_bear' else 'bear' end"
 
 
-@query("trend_analyze", f"with {S.FEATURES} select code, d::varchar trade_date, {_TREND} status from f where rn >= 61")
+# the score adds up what is in order, and takes off for a price below its shortest mean
+_SCORE = "50 + case when ma5 > ma10 then 10 else 0 end + case when ma10 > ma20 then 10 else 0 end + case when ma20 > ma60 then 10 else 0 end + case when c > ma5 then 5 else 0 end + case when c > ma5 and (c - ma5) * 100 < 10 * ma5 then 5 when c < ma5 then -10 else 0 end"
+# Least scores of the signals, from the strongest on.
+_SIGNALS = (("strong_buy", 85), ("buy", 70), ("hold", 55), ("watch", 40), ("reduce", 25))
+_SIGNAL = "case " + " ".join(f"when score >= {n} then '{s}'" for s, n in _SIGNALS) + " else 'avoid' end"
+
+
+@query("trend_analyze", f"with {S.FEATURES}, x as (select code, d, {_TREND} status, ({_SCORE})::int score from f where rn >= 61) select code, d::varchar trade_date, status, score, {_SIGNAL} signal from x")
 def trend_analyze(spark, sf):
-    return B.features(bars_of(spark, sf)).where("rn >= 61").select("code", day(), F.expr(_TREND).alias("status"))
+    """Order of the moving averages, a score of it, and the signal the score stands for."""
+    x = B.features(bars_of(spark, sf)).where("rn >= 61").select("code", day(), F.expr(_TREND).alias("status"), F.expr(_SCORE).alias("score"))
+    return x.withColumn("signal", F.expr(_SIGNAL))
 
 
 @query("win_vol_ratio_chart", f"with {S.BARS}, x as (select code, d, v, {S._prev('sum(v)', 5)} s from bars) select code, d::varchar trade_date, {S.r4('(v / (s / 5))')} ratio from x where s > 0")

@@ -305,9 +305,12 @@ def chip_model_v2(spark, sf):
 
 @query("chip_wasserstein", None)
 def chip_wasserstein(spark, sf):
-    """Distance of the closed-form and the sequential distribution, prices in thousandths."""
+    """Distance of the closed-form and the sequential distribution, over the average cost of the closed form."""
     b = bars_of(spark, sf)
-    return C.wasserstein(C.legacy(b).select("code", "price", "weight"), C.model(b).select("code", (F.col("price") * 1000).alias("price"), "weight"))
+    legacy = C.legacy(b).select("code", "price", "weight")
+    cost = legacy.groupBy("code").agg(F.sum(F.col("price") * F.col("weight")).alias("cost"))
+    apart = C.wasserstein(legacy, C.model(b).select("code", (F.col("price") * 1000).alias("price"), "weight"))
+    return apart.join(cost, "code").select("code", (F.col("w1") / F.col("cost")).alias("w1"))
 
 
 # sorts, limits, pages
