@@ -157,13 +157,13 @@ def _evidence(seed, n=160):
             text = " ".join(parts)
         if rng.random() < 0.3:
             text += " " + phrase
-        rows.append((f"e{i:04d}", rng.randrange(4), START + timedelta(minutes=i), rng.choice((None, "Title", "TITLE")), text, 1, "x"))
-    rows += [(r[0], rng.randrange(4), r[2] + timedelta(days=1), r[3], r[4], 1, "x") for r in rows[::9]]
+        rows.append((f"e{i:04d}", rng.randrange(3), START + timedelta(minutes=i), rng.choice((None, "Title", "TITLE")), text, 1, "x"))
+    rows += [(r[0], rng.randrange(3), r[2] + timedelta(days=1), r[3], r[4], 1, "x") for r in rows[::9]]
     rows += [("n1", 1, START, "t", None, 1, "x"), ("n2", 1, START, "t", "  ", 1, "x"), ("n5", 1, START, "a title long enough to be compared with", "\t\u3000\n", 1, "x"), ("n6", 2, START, "a title long enough to be compared with", "\u00a0", 1, "x"), ("n3", 2, START, None, "...", 1, "x"), ("n4", None, START, "t", "abc", 1, "x"), (None, 1, START, "t", "abc", 1, "x")]
     return rows
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", [0])
 def test_batches_against_brute_force(spark, seed):
     rows = _evidence(seed)
     out = [tuple(r) for r in batches.batch_repeats(spark.createDataFrame(rows, EVIDENCE)).collect()]
@@ -181,10 +181,10 @@ def test_batches_one_by_one_agree_with_the_table_at_once(spark):
     store = batches.History(spark, new_path(spark, "history"))
     store.start(spark.createDataFrame([r for r in rows if r[1] == 0], EVIDENCE))
     found = set()
-    for b in (1, 2, 3):
+    for b in (1, 2):
         found |= {tuple(r) for r in store.check(spark.createDataFrame([r for r in rows if r[1] == b], EVIDENCE), b).collect()}
     assert found == at_once and found
-    again = {tuple(r) for r in store.check(spark.createDataFrame([r for r in rows if r[1] == 3], EVIDENCE), 3).collect()}
+    again = {tuple(r) for r in store.check(spark.createDataFrame([r for r in rows if r[1] == 2], EVIDENCE), 2).collect()}
     assert again <= at_once
 
 
