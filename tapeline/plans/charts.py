@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tapeline.expr import round_half
-from tapeline.functions import text as X
+from tapeline.operators import bars as B
 from tapeline.operators import charts as C
 from tapeline.plans import sql as S
 from tapeline.plans.market import day, r4
 from tapeline.plans.signals import bars_of
-from tapeline.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
 
@@ -39,6 +37,18 @@ def chart_segments(spark, sf):
     return z.select("code", day("d", "from_day"), day("to_day", "to_day"), r4((F.col("to_price") / F.col("price") - 1) * 100).alias("change"))
 
 
+@query("chart_main_trend", None)
+def chart_main_trend(spark, sf):
+    """Of each code's swings the main one, long and near the right edge, with the slope of the closes in it."""
+    bars = bars_of(spark, sf).select("code", "d", "c", F.row_number().over(B.by_code()).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("code")).alias("n"))
+    points = C.zigzag(bars_of(spark, sf)).select("code", "d").join(bars.select("code", "d", "i", "n"), ["code", "d"])
+    swings = points.withColumn("to", F.lead("i").over(B.by_code())).withColumn("to_day", F.lead("d").over(B.by_code())).where("to is not null")
+    weight = (F.col("to") - F.col("i")) * (1 + 0.6 * (1 - (F.col("n") - F.col("to")) / F.col("n")))
+    best = swings.groupBy("code").agg(F.max(F.struct(weight.alias("w"), "i", "to", "d", "to_day")).alias("s")).select("code", "s.*")
+    inside = bars.select("code", "c", F.col("i").alias("k")).join(best, "code").where("k between i and to")
+    return inside.groupBy("code", day("d", "from_day"), day("to_day", "to_day")).agg(F.count(F.lit(1)).alias("bars"), r4(F.regr_slope("c", "k")).alias("slope"))
+
+
 @query("chart_channel_fit", f"""with {S.BARS}, k as (select *, 60 - row_number() over (partition by code order by d desc) x from bars qualify row_number() over (partition by code order by d desc) <= 60),
 l as (select code, (count(*) * sum(x * c) - sum(x) * sum(c)) / (count(*) * sum(x * x) - sum(x) * sum(x)) slope, sum(c) sc, sum(x) sx, count(*) n from k group by code having count(*) >= 2), m as (select code, slope, (sc - slope * sx) / n intercept from l)
 select code, {S.r4('max(slope)')} slope, {S.r4('max(intercept)')} intercept, {S.r4('quantile_cont(c - slope * x - intercept, 0.1)')} below, {S.r4('quantile_cont(c - slope * x - intercept, 0.9)')} above from k join m using (code) group by code""")
