@@ -8,6 +8,18 @@ from collections.abc import Sequence
 from datetime import date
 
 
+def walk_forward(dates: Sequence[date], train: int, validate: int, horizon: int) -> list[dict[str, list[date]]]:
+    """Splits by numbers of dates: ``train``, ``horizon`` purged ones, ``validate``, then ``horizon`` embargoed ones in full."""
+    found, begin = [], 0
+    while True:
+        first = begin + train + horizon
+        last = first + validate
+        if last + horizon > len(dates):
+            return found
+        found.append({"train": list(dates[begin : begin + train]), "purge": list(dates[begin + train : first]), "validate": list(dates[first:last]), "embargo": list(dates[last : last + horizon])})
+        begin += validate
+
+
 def add_months(day: date, months: int) -> date:
     """The same day ``months`` later, or the last of that month."""
     year, month = divmod(day.year * 12 + day.month - 1 + months, 12)
