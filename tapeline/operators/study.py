@@ -178,5 +178,6 @@ def validation(rows: DataFrame, cost_bps: float = 0.0, best_baseline: float = 0.
 
 
 def payloads(ledger: Sequence[dict], horizons: Sequence[str]) -> list[str]:
-    """JSON documents of the accepted archetypes of a ledger, one for each horizon that may be published, keys in order."""
-    return [json.dumps(row | {"horizon": h, "days": HORIZONS[h]}, sort_keys=True) for h in horizons if h in PUBLISHABLE for row in ledger if row["status"] == "accepted"]
+    """A JSON document for each horizon that may be published: what a ledger accepted and what it rejected, keys in order."""
+    good, bad = ([row for row in ledger if (row["status"] == "accepted") == wanted] for wanted in (True, False))
+    return [json.dumps({"horizon": h, "days": HORIZONS[h], "archetypes": good, "rejections": bad}, sort_keys=True) for h in horizons if h in PUBLISHABLE]

@@ -224,6 +224,6 @@ def res_validate(spark, sf):
 
 @query("res_export", None)
 def res_export(spark, sf):
-    """Accepted archetypes as documents, for the horizons that may be published."""
+    """Archetypes, accepted and rejected, as a document for each horizon that may be published."""
     rows = vectors.archetypes(_embeddings(spark, sf), "vec_id", "embedding", vectors.Archetypes(models=("kmeans",)))
     return spark.createDataFrame([(x,) for x in study.payloads(rows, ["week", "month", "quarter"])], "payload string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from datetime import date, timedelta
 
@@ -46,7 +47,8 @@ def test_archetypes_find_what_is_there(spark):
     ledger = vectors.archetypes(frame, "k", "v", vectors.Archetypes(counts=(2,), fits=2))
     good = [r for r in ledger if r["status"] == "accepted"]
     assert len(good) == 4 and {r["n"] for r in good} == {40} and all(r["silhouette"] > 0.8 and 2 not in r["top"][:2] for r in good)
-    assert len(study.payloads(ledger, ["week", "quarter"])) == 4
+    (document,) = study.payloads(ledger, ["week", "quarter"])
+    assert len(json.loads(document)["archetypes"]) == 4 and json.loads(document)["days"] == 5
     assert vectors.archetypes(frame.where("k < 9"), "k", "v") == [{"model": "", "k": 0, "cluster": -1, "status": "insufficient_samples", "n": 9}]
     tiny = vectors.archetypes(frame.where("k < 45"), "k", "v", vectors.Archetypes(counts=(2,), models=("kmeans",)))
     assert [r["status"] for r in tiny] == ["tiny_cluster"] and tiny[0]["n"] == 5
