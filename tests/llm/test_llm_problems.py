@@ -281,7 +281,7 @@ def test_encoding_is_exact(spark):
 
 def test_chunks_are_reused_and_joins_repaired(spark):
     rng = random.Random(9)
-    text = " ".join(f"On {rng.randrange(30)} July, lender {rng.randrange(99999)} forecast a plan to sell {rng.randrange(999)} data racks; 研究所表示,编号{rng.randrange(9999)}将调整。" for _ in range(60))
+    text = " ".join(f"On {rng.randrange(30)} July, lender {rng.randrange(99999)} forecast a plan to sell {rng.randrange(999)} data racks; 研究所表示,编号{rng.randrange(9999)}将调整。" for _ in range(200))
     texts = [text, "", "one two three. " + text, text[17:] + " end", text.replace("data", "date"), "y" * 2_000, "don't " * 300]
     own = encode.Dictionary(encode.tokenizer_path())
     out = encode.encode_texts(texts, own)
