@@ -218,6 +218,16 @@ def test_batches_large_family_of_near_copies(spark):
     assert len(exact) == len(set(exact)) and set(exact) == want
 
 
+def test_batches_lose_no_pair_of_a_large_family_unasked(spark, monkeypatch):
+    """By default, and with the new texts sent in several blocks, and accepted texts taken a few at a time."""
+    rows = _family(12) + [("s1", 0, START, None, "abcdefg", 1, "x"), ("s2", 1, START, None, "abcdefgh", 1, "x"), ("s3", 1, START, None, "abcdexyz", 1, "x")]
+    want = _brute_repeats(rows)
+    for name, value in (("NEW_AT_ONCE", 4000), ("OLD_TEXTS", 20), ("AT_ONCE", 1000), ("CELLS", 50)):
+        monkeypatch.setattr(batches, name, value, raising=False)
+    out = [tuple(r) for r in batches.batch_repeats(spark.createDataFrame(rows, EVIDENCE)).collect()]
+    assert len(out) == len(set(out)) and set(out) == want and ("s1", "s2") in want
+
+
 def test_batches_small_families_lose_nothing(spark):
     rows = []
     for k in range(12):
